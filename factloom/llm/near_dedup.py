@@ -8,11 +8,16 @@ added for sets so small that four cannot be guaranteed), else but for a chance o
 A pair is then estimated from its union sketch (the k smallest of both), which drops pairs that are five standard
 deviations below the threshold, and verified on the full sets.
 
-No list is expanded into all its pairs while that can be avoided: in each of STAR_ROUNDS rounds every class is
-compared with one class of each of its lists, and lists that lie within one component are done. Only classes of
-lists that still hold several components are paired with each other; lists of more than HOT classes are first
-refined by a second shared key (for sets larger than their sketch, which share dozens of runs when similar).
-Components come from rounds of large-star and small-star steps on the verified links.
+No list is expanded into all its pairs. In each of STAR_ROUNDS rounds the classes of a list are compared with one of
+them, its hub: the class whose lists are largest, in a group of near copies the text that the others stem from. Lists
+that lie within one component are done. Classes that pass the estimate with a common hub are a family. If J(x, hub)
+is below 0.8 and J(x, y) is not, then x and y share a member that the hub lacks, or both lack the same member of the hub
+(else x & y would lie in the hub and the hub in x | y, so J(x, hub) >= J(x, y)). So within a family only
+classes that share such a difference are compared; differences shared by more than HOT classes are taken two at a time,
+as neighbours in hash order, since such x and y share about half of theirs. Classes of no common family
+are compared where they share a list; those of lists of more than HOT classes, where they share one of the values of
+their sketches that are rarest there, so many of them that no pair that passes the estimate is left out. Lists that a
+single family fills are left to its differences. Components come from rounds of large-star and small-star steps on the verified links.
 
 Defined results: a text without words, empty or null, has an empty set, is linked with nothing and is its own
 component; fewer words than a shingle count as one shingle; equal rows are linked; rows that share a doc_id but not
@@ -38,7 +43,7 @@ THRESHOLD_PERCENT = 80
 #: Five standard deviations of the union sketch's estimate at the threshold.
 MARGIN = 0.25
 STAR_ROUNDS = 3
-HOT = 100
+HOT = 50
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -65,14 +70,14 @@ def shingles(text: bytes, width: int) -> np.ndarray:
 def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
     """The keys of a set's inverted lists; n is the size of the whole set."""
     runs = [RUN, *([3] if n <= 15 else []), *([2] if n <= 9 else [])]
-    out = []
+    out = [np.zeros(0, np.uint64)]
     for r in runs:
         if len(sketch) >= r:
             acc = sketch[: len(sketch) - r + 1] + np.uint64(r)
             for j in range(1, r):
                 acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + sketch[j : len(sketch) - r + 1 + j])
             out.append(acc)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out)
 
 
 def sketch_documents(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
@@ -96,9 +101,10 @@ def _lists(classes: DataFrame) -> DataFrame:
         for batch in batches:
             nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
             keys = [run_keys(np.frombuffer(s, np.uint64), int(n)) for s, n in zip(batch.column("sketch").to_pylist(), sizes, strict=True)]
-            counts = np.array([len(x) for x in keys], np.int64)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(nodes, counts)), pa.array(np.repeat(sizes, counts))], names=["key", "node", "n"])
+            if keys:
+                counts = np.array([len(x) for x in keys], np.int64)
+                flat = np.concatenate(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(nodes, counts)), pa.array(np.repeat(sizes, counts))], names=["key", "node", "n"])
 
     return classes.select("node", "n", "sketch").mapInArrow(run, "key long, node long, n long")
 
@@ -146,13 +152,13 @@ class _Sets:
     """Full sets of the classes that pass an estimate, read from the texts once per class."""
 
     def __init__(self, ws: Workspace, docs: DataFrame, classes: DataFrame, width: int):
-        self.ws, self.docs, self.classes, self.width, self.known = ws, docs, classes, width, None
+        self.ws, self.docs, self.classes, self.width = ws, docs, classes, width
+        self.known = classes.where(F.octet_length("sketch") == 8 * F.col("n")).select("node", F.col("sketch").alias("shingles"))  # whole sets already
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        if self.known is not None:
-            nodes = nodes.join(self.known.select("node"), "node", "left_anti")
+        nodes = nodes.join(self.known.select("node"), "node", "left_anti")
         nodes = self.ws.stage(nodes.join(self.classes.select("node", "doc", "digest"), "node"))
-        if self.known is None or not nodes.isEmpty():
+        if not nodes.isEmpty():
             texts = self.docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("__text"))
             width = self.width
 
@@ -167,8 +173,7 @@ class _Sets:
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
             found = texts.join(nodes, texts["doc"].eqNullSafe(nodes["doc"])).select("node", "digest", "__text").mapInArrow(run, "node long, shingles binary")
-            new = self.ws.stage(found)
-            self.known = new if self.known is None else self.known.unionByName(new)
+            self.known = self.known.unionByName(self.ws.stage(found))
         return self.known
 
 
@@ -223,19 +228,24 @@ def _open_rows(ws: Workspace, lists: DataFrame, comps: DataFrame | None) -> Data
 def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
     """(node, comp) of the classes that are linked with another."""
     lists = _lists(classes)
-    several = ws.stage(lists.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    several = ws.stage(lists.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
     rows = ws.stage(lists.join(several, "key"))
-    sets, links, comps, tried = _Sets(ws, docs, classes, width), None, None, None
+    weight = ws.stage(rows.groupBy("node").agg(F.sum("rows").alias("weight")))
+    rows = ws.stage(rows.join(weight, "node"))
+    sets, links, comps, tried, family = _Sets(ws, docs, classes, width), None, None, None, None
     for step in range(STAR_ROUNDS + 1):
         rows = _open_rows(ws, rows, comps)
         if rows.isEmpty():
             break
         if step < STAR_ROUNDS:
-            order = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "comp", "n")
-            hub = ws.stage(rows.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("m")))
-            found = rows.join(hub, "key").where((F.col("comp") != F.col("hub_comp")) & _similar_size()).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+            order = F.struct("weight", "node", "comp", "n")
+            hub = ws.stage(rows.groupBy("key").agg(F.max(order).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("m")))
+            rows = ws.stage(rows.join(hub, "key").where("node <> hub"))  # the hub's pairs in this list are done with this round
+            found = rows.where((F.col("comp") != F.col("hub_comp")) & _similar_size()).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+            rows = rows.drop("hub", "hub_comp", "m")
         else:
-            found = _all_pairs(ws, rows, k)
+            rows = ws.stage(rows.join(_families(ws, family, weight), "node", "left"))
+            found = _list_pairs(ws, rows, classes, k).unionByName(_family_pairs(ws, _families(ws, family, weight), comps, sets))
         pairs = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
@@ -243,24 +253,101 @@ def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = _verify(ws, ws.stage(_judge(pairs, classes, k)), sets)
+        judged = ws.stage(_judge(pairs, classes, k))
+        if step < STAR_ROUNDS:
+            near = judged.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("hub")), F.struct(F.col("y").alias("node"), F.col("x").alias("hub")))).alias("f")).select("f.node", "f.hub")
+            near = near.join(hub.select("hub").distinct(), "hub", "left_semi")
+            family = near if family is None else family.unionByName(near)
+        new = _verify(ws, judged, sets)
         links = new if links is None else links.unionByName(new)
         comps = ws.stage(components(ws, links))
     return comps
 
 
-def _all_pairs(ws: Workspace, rows: DataFrame, k: int) -> DataFrame:
-    """(a, b): classes of different components that share a list; those of hot lists, that share two."""
-    hot = (F.col("rows") > HOT) & (F.col("n") > k)
-    plain = rows.where(~hot).select("key", "node", "comp", "n")
-    mine = rows.where(hot).select("key", "node", "comp", "n")
-    other = mine.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most as many as a sketch has runs
-    fine = mine.join(other, "node").select(F.explode(F.filter("keys", lambda x: x > F.col("key"))).alias("second"), "key", "node", "comp", "n")
-    fine = fine.select(F.xxhash64("key", "second").alias("key"), "node", "comp", "n")
-    each = ws.stage(plain.unionByName(fine))
-    right = each.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"))
-    joined = each.join(right, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & _similar_size())
-    return joined.select(F.col("node").alias("a"), "b")
+def _families(ws: Workspace, family: DataFrame | None, weight: DataFrame) -> DataFrame:
+    """(node, hub): the heaviest hub that each class passes the estimate with."""
+    if family is None:
+        return ws.spark.createDataFrame([], "node long, hub long")
+    heavy = weight.select(F.col("node").alias("hub"), "weight")
+    best = family.join(heavy, "hub").groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("h"))
+    return best.select("node", F.col("h.hub").alias("hub"))
+
+
+def _self_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, node, comp, n, hub) that share a key, but neither component nor family."""
+    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("hub").alias("h"))
+    apart = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & _similar_size() & ~F.coalesce(F.col("hub") == F.col("h"), F.lit(False))
+    return rows.join(right, "key").where(apart).select(F.col("node").alias("a"), "b")
+
+
+def _list_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """Classes of different components and families that share a list, or where it is hot, a value of their prefixes."""
+    full = rows.where("hub is not null").groupBy("key", "hub").agg(F.count("*").alias("fill")).where(F.col("fill") > HOT).select("key", "hub")
+    rows = rows.join(ws.stage(full), ["key", "hub"], "left_anti").drop("rows")
+    rows = ws.stage(rows)
+    rows = rows.join(ws.stage(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")), "key")
+    hot = F.col("rows") > HOT
+    plain = rows.where(~hot).select("key", "node", "comp", "n", "hub")
+    nodes = ws.stage(rows.where(hot).select("node", "comp", "n", "hub").distinct())
+    return _self_pairs(ws.stage(plain.unionByName(_prefixes(ws, nodes, classes, k))))
+
+
+def _prefixes(ws: Workspace, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(key, node, comp, n, hub): the rarest values of each sketch, as many as any pair that passes the estimate shares one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = batch.column("sketch").to_pylist()
+            at = pa.array(np.repeat(np.arange(len(sketches)), [len(x) // 8 for x in sketches]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sketches), np.int64)), *(batch.column(c).take(at) for c in ("node", "comp", "n", "hub"))], names=["key", "node", "comp", "n", "hub"])
+
+    given = nodes.join(classes.select("node", "sketch"), "node").select("node", "comp", "n", "hub", "sketch")
+    values = ws.stage(given.mapInArrow(run, "key long, node long, comp long, n long, hub long"))
+    rarity = ws.stage(values.groupBy("key").agg(F.count("*").alias("of")))
+    ordered = values.join(rarity, "key").groupBy("node", "comp", "n", "hub").agg(F.array_sort(F.collect_list(F.struct("of", "key"))).alias("v"))  # at most k values
+    shared = F.least(F.ceil(F.col("n") * THRESHOLD_PERCENT / 100), F.lit(int(np.ceil((THRESHOLD_PERCENT / 100 - MARGIN) * k))))
+    prefix = F.explode(F.slice("v", F.lit(1), (F.size("v") - shared + 1).cast("int")))
+    return ordered.select("node", "comp", "n", "hub", prefix.alias("x")).where("x.of > 1").select(F.col("x.key").alias("key"), "node", "comp", "n", "hub")
+
+
+def differences(of: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """Hashes of a set's differences from a hub: members that the hub lacks, and the hub's that it lacks."""
+    more, less = np.setdiff1d(of, hub, assume_unique=True), np.setdiff1d(hub, of, assume_unique=True)
+    return np.sort(np.concatenate([mix64(more), mix64(less ^ np.uint64(0xA5A5A5A5A5A5A5A5))]))
+
+
+def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, sets: _Sets) -> DataFrame:
+    """(a, b): classes of a family, but different components, that differ from its hub in the same way."""
+    if comps is None:
+        return ws.spark.createDataFrame([], "a long, b long")
+    members = ws.stage(family.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    several = members.groupBy("hub").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("hub")
+    members = ws.stage(members.join(ws.stage(several), "hub"))
+    known = sets.of(members.select(F.explode(F.array("node", "hub")).alias("node")).distinct())
+    own = known.select("node", F.col("shingles").alias("mine"))
+    central = known.select(F.col("node").alias("hub"), F.col("shingles").alias("central"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nexts, owner = [], [], []
+            for i, (a, b, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("mine", "central", "hub")), strict=True)):
+                d = mix64(differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) + np.uint64(h))
+                keys.append(d)
+                nexts.append(mix64(d * np.uint64(0x9E3779B97F4A7C15) + np.append(d[1:], np.uint64(0))))
+                owner.append(np.full(len(d), i))
+            if keys:
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nexts).view(np.int64)), batch.column("node").take(at), batch.column("comp").take(at)],
+                    names=["key", "two", "node", "comp"],
+                )
+
+    rows = ws.stage(members.join(own, "node").join(central, "hub").mapInArrow(run, "key long, two long, node long, comp long"))
+    counted = ws.stage(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "rows"))
+    each = rows.join(counted, "key").select(F.when(F.col("rows") > HOT, F.col("two")).otherwise(F.col("key")).alias("key"), "node", "comp")
+    each = ws.stage(each)
+    right = each.select("key", F.col("node").alias("b"), F.col("comp").alias("c"))
+    return each.join(right, "key").where("node < b and comp <> c").select(F.col("node").alias("a"), "b")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
