@@ -13,8 +13,8 @@ them, its hub: the class whose lists are largest, in a group of near copies the
 that lie within one component are done. Classes that pass the estimate with a common hub are a family. If J(x, hub)
 is below 0.8 and J(x, y) is not, then x and y share a member that the hub lacks, or both lack the same member of the hub
 (else x & y would lie in the hub and the hub in x | y, so J(x, hub) >= J(x, y)). So within a family only
-classes that share such a difference are compared; differences shared by more than HOT classes are taken two at a time,
-as neighbours in hash order, since such x and y share about half of theirs. Classes of no common family
+classes that share such a difference are compared; differences shared by more than HOT_DIFFERENCE classes are taken two
+at a time, as neighbours in hash order (the one place, besides the sketches, where a link can be lost by chance). Classes of no common family
 are compared where they share a list; those of lists of more than HOT classes, where they share one of the values of
 their sketches that are rarest there, so many of them that no pair that passes the estimate is left out. Lists that a
 single family fills are left to its differences. Components come from rounds of large-star and small-star steps on the verified links.
@@ -44,6 +44,11 @@ THRESHOLD_PERCENT = 80
 MARGIN = 0.25
 STAR_ROUNDS = 3
 HOT = 50
+HOT_DIFFERENCE = 500
+#: 64-bit words of a signature of differences.
+WORDS = 8
+#: Classes whose texts may be picked out by a broadcast of their ids (20 MB); more are joined by a shuffle of the texts.
+PICK_ROWS = 200_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -159,6 +164,8 @@ class _Sets:
         nodes = nodes.join(self.known.select("node"), "node", "left_anti")
         nodes = self.ws.stage(nodes.join(self.classes.select("node", "doc", "digest"), "node"))
         if not nodes.isEmpty():
+            if nodes.count() <= PICK_ROWS:
+                nodes = F.broadcast(nodes)
             texts = self.docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("__text"))
             width = self.width
 
@@ -316,8 +323,19 @@ def differences(of: np.ndarray, hub: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([mix64(more), mix64(less ^ np.uint64(0xA5A5A5A5A5A5A5A5))]))
 
 
+def signature(d: np.ndarray) -> np.ndarray:
+    """Eight words of 64 bits with a bit set for each difference."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(d % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, sets: _Sets) -> DataFrame:
-    """(a, b): classes of a family, but different components, that differ from its hub in the same way."""
+    """(a, b): classes of a family, but different components, that differ from its hub in the same way.
+
+    Similar classes have |x ^ y| <= 0.25 min(|x|, |y|), so they share at least (|Dx| + |Dy| - 0.25 min(|x|, |y|)) / 2 of
+    their differences Dx and Dy; pairs whose signatures show less than 0.8 of that are left out.
+    """
     if comps is None:
         return ws.spark.createDataFrame([], "a long, b long")
     members = ws.stage(family.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
@@ -327,27 +345,41 @@ def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, set
     own = known.select("node", F.col("shingles").alias("mine"))
     central = known.select(F.col("node").alias("hub"), F.col("shingles").alias("central"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, nexts, owner = [], [], []
-            for i, (a, b, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("mine", "central", "hub")), strict=True)):
+            found, signs, sizes = [], [], []
+            for a, b, h in zip(*(batch.column(c).to_pylist() for c in ("mine", "central", "hub")), strict=True):
                 d = mix64(differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) + np.uint64(h))
-                keys.append(d)
-                nexts.append(mix64(d * np.uint64(0x9E3779B97F4A7C15) + np.append(d[1:], np.uint64(0))))
-                owner.append(np.full(len(d), i))
-            if keys:
-                at = pa.array(np.concatenate(owner))
+                found.append(d.tobytes())
+                signs.append(signature(d))
+                sizes.append((len(a) // 8, len(d)))
+            n, size = zip(*sizes, strict=True) if sizes else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), batch.column("comp"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(found, pa.binary())],
+                names=["node", "comp", "n", "d", "signs", "diffs"],
+            )
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.frombuffer(x, np.uint64) for x in batch.column("diffs").to_pylist()]
+            if each:
+                two = [mix64(d * np.uint64(0x9E3779B97F4A7C15) + np.append(d[1:], np.uint64(0))) for d in each]
+                at = pa.array(np.repeat(np.arange(len(each)), [len(d) for d in each]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nexts).view(np.int64)), batch.column("node").take(at), batch.column("comp").take(at)],
+                    [pa.array(np.concatenate(each).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), batch.column("node").take(at), batch.column("comp").take(at)],
                     names=["key", "two", "node", "comp"],
                 )
 
-    rows = ws.stage(members.join(own, "node").join(central, "hub").mapInArrow(run, "key long, two long, node long, comp long"))
+    made = ws.stage(members.join(own, "node").join(central, "hub").mapInArrow(diffs, "node long, comp long, n long, d long, signs array<bigint>, diffs binary"))
+    rows = ws.stage(made.select("node", "comp", "diffs").mapInArrow(spread, "key long, two long, node long, comp long"))
     counted = ws.stage(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "rows"))
-    each = rows.join(counted, "key").select(F.when(F.col("rows") > HOT, F.col("two")).otherwise(F.col("key")).alias("key"), "node", "comp")
-    each = ws.stage(each)
-    right = each.select("key", F.col("node").alias("b"), F.col("comp").alias("c"))
-    return each.join(right, "key").where("node < b and comp <> c").select(F.col("node").alias("a"), "b")
+    each = rows.join(counted, "key").select(F.when(F.col("rows") > HOT_DIFFERENCE, F.col("two")).otherwise(F.col("key")).alias("key"), "node")
+    each = ws.stage(each.join(made.drop("diffs"), "node"))
+    right = each.select("key", *[F.col(c).alias(f"r_{c}") for c in each.columns if c != "key"])
+    common = sum((F.bit_count(F.col("signs")[i].bitwiseAND(F.col("r_signs")[i])) for i in range(WORDS)), F.lit(0))
+    least = (F.col("d") + F.col("r_d") - 0.25 * F.least("n", "r_n")) / 2
+    apart = (F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & (common >= 0.8 * least)
+    return each.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
