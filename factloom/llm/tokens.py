@@ -24,8 +24,8 @@ _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 #: The word vocabulary's pattern 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+ within lower-case Latin-1.
 _L, _N = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
-#: Distinct words kept per worker (about 100 MB).
-MEMO_WORDS = 400_000
+#: Distinct words kept per worker (about 200 MB).
+MEMO_WORDS = 1_000_000
 
 #: Characters of text that are tokenised together.
 CHUNK_CHARS = 4_000_000
@@ -93,7 +93,7 @@ class Encoder:
         words = [_WORD.findall(t.lower()) for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self._forget()
-        new = list(dict.fromkeys(w for w in itertools.chain.from_iterable(words) if w not in self.memo))
+        new = list(set(itertools.chain.from_iterable(words)) - self.memo.keys())
         parts = []
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
