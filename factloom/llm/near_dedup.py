@@ -42,7 +42,7 @@ RUN = 4
 THRESHOLD_PERCENT = 80
 #: Five standard deviations of the union sketch's estimate at the threshold.
 MARGIN = 0.25
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 HOT = 50
 HOT_DIFFERENCE = 500
 #: 64-bit words of a signature of differences.
@@ -239,7 +239,7 @@ def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k
     rows = ws.stage(lists.join(several, "key"))
     weight = ws.stage(rows.groupBy("node").agg(F.sum("rows").alias("weight")))
     rows = ws.stage(rows.join(weight, "node"))
-    sets, links, comps, tried, family = _Sets(ws, docs, classes, width), None, None, None, None
+    sets, comps, tried, family = _Sets(ws, docs, classes, width), None, None, None
     for step in range(STAR_ROUNDS + 1):
         rows = _open_rows(ws, rows, comps)
         if rows.isEmpty():
@@ -266,11 +266,26 @@ def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k
             near = near.join(hub.select("hub").distinct(), "hub", "left_semi")
             family = near if family is None else family.unionByName(near)
         new = _verify(ws, judged, sets)
-        links = new if links is None else links.unionByName(new)
-        comps = ws.stage(components(ws, links))
+        comps = _grown(ws, comps, new)
     return comps
 
 
+def _grown(ws: Workspace, comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components after more links; only the components that they join are worked on."""
+    if comps is None:
+        return ws.stage(components(ws, links))
+    for c in "xy":
+        label = comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
+        links = links.join(label, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+    links = ws.stage(links)
+    joined = ws.stage(links.where("x_comp <> y_comp").select(F.col("x_comp").alias("x"), F.col("y_comp").alias("y")).distinct())
+    if joined.isEmpty():
+        return comps
+    moved = ws.stage(components(ws, joined))  # of the components' smallest nodes
+    moves = moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return ws.stage(comps.join(moves, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).unionByName(moved))
+
+
 def _families(ws: Workspace, family: DataFrame | None, weight: DataFrame) -> DataFrame:
     """(node, hub): the heaviest hub that each class passes the estimate with."""
     if family is None:
