@@ -45,7 +45,7 @@ MARGIN = 0.25
 STAR_ROUNDS = 2
 HOT = 50
 HOT_DIFFERENCE = 500
-#: 64-bit words of a signature of differences.
+#: 64-bit words of a signature.
 WORDS = 8
 #: Classes whose texts may be picked out by a broadcast of their ids (20 MB); more are joined by a shuffle of the texts.
 PICK_ROWS = 200_000
@@ -295,11 +295,35 @@ def _families(ws: Workspace, family: DataFrame | None, weight: DataFrame) -> Dat
     return best.select("node", F.col("h.hub").alias("hub"))
 
 
-def _self_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows (key, node, comp, n, hub) that share a key, but neither component nor family."""
-    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("hub").alias("h"))
+def signature(values: np.ndarray) -> np.ndarray:
+    """WORDS words of 64 bits with a bit set for each value."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[(values % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def _common_bits(a: str, b: str):
+    return sum((F.bit_count(F.col(a)[i].bitwiseAND(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
+
+
+def _self_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(a, b) of rows (key, node, comp, n, hub) that share a key, but neither component nor family.
+
+    A pair that passes the estimate shares at least min(0.8 max(|x|, |y|), 0.55 k) values of its sketches; pairs whose
+    signatures show less than 0.8 of that are left out.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = [signature(mix64(np.frombuffer(x, np.uint64))) for x in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(signs, pa.list_(pa.int64()))], names=["node", "signs"])
+
+    signed = rows.select("node").distinct().join(classes.select("node", "sketch"), "node").mapInArrow(sign, "node long, signs array<bigint>")
+    rows = ws.stage(rows.join(signed, "node"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("hub").alias("h"), F.col("signs").alias("r_signs"))
+    shared = F.least(F.greatest("n", "m") * THRESHOLD_PERCENT / 100, F.lit((THRESHOLD_PERCENT / 100 - MARGIN) * k))
     apart = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & _similar_size() & ~F.coalesce(F.col("hub") == F.col("h"), F.lit(False))
-    return rows.join(right, "key").where(apart).select(F.col("node").alias("a"), "b")
+    return rows.join(right, "key").where(apart & (_common_bits("signs", "r_signs") >= 0.8 * shared)).select(F.col("node").alias("a"), "b")
 
 
 def _list_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -311,7 +335,7 @@ def _list_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> D
     hot = F.col("rows") > HOT
     plain = rows.where(~hot).select("key", "node", "comp", "n", "hub")
     nodes = ws.stage(rows.where(hot).select("node", "comp", "n", "hub").distinct())
-    return _self_pairs(ws.stage(plain.unionByName(_prefixes(ws, nodes, classes, k))))
+    return _self_pairs(ws, ws.stage(plain.unionByName(_prefixes(ws, nodes, classes, k))), classes, k)
 
 
 def _prefixes(ws: Workspace, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -338,13 +362,6 @@ def differences(of: np.ndarray, hub: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([mix64(more), mix64(less ^ np.uint64(0xA5A5A5A5A5A5A5A5))]))
 
 
-def signature(d: np.ndarray) -> np.ndarray:
-    """Eight words of 64 bits with a bit set for each difference."""
-    bits = np.zeros(64 * WORDS, np.uint8)
-    bits[(d % np.uint64(64 * WORDS)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
-
-
 def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, sets: _Sets) -> DataFrame:
     """(a, b): classes of a family, but different components, that differ from its hub in the same way.
 
@@ -391,9 +408,8 @@ def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, set
     each = rows.join(counted, "key").select(F.when(F.col("rows") > HOT_DIFFERENCE, F.col("two")).otherwise(F.col("key")).alias("key"), "node")
     each = ws.stage(each.join(made.drop("diffs"), "node"))
     right = each.select("key", *[F.col(c).alias(f"r_{c}") for c in each.columns if c != "key"])
-    common = sum((F.bit_count(F.col("signs")[i].bitwiseAND(F.col("r_signs")[i])) for i in range(WORDS)), F.lit(0))
     least = (F.col("d") + F.col("r_d") - 0.25 * F.least("n", "r_n")) / 2
-    apart = (F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & (common >= 0.8 * least)
+    apart = (F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & (_common_bits("signs", "r_signs") >= 0.8 * least)
     return each.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
 
 
