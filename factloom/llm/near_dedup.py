@@ -252,11 +252,12 @@ def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k
             rows = rows.drop("hub", "hub_comp", "m")
         else:
             rows = ws.stage(rows.join(_families(ws, family, weight), "node", "left"))
-            found = _list_pairs(ws, rows, classes, k).unionByName(_family_pairs(ws, _families(ws, family, weight), comps, sets))
-        pairs = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = ws.stage(pairs)
+            close = _ordered(_family_pairs(ws, _families(ws, family, weight), comps, sets), tried)
+            if not (close := ws.stage(close)).isEmpty():  # their full sets are known, so they need no estimate
+                comps = _grown(ws, comps, _verify(ws, close.withColumn("sure", F.lit(False)), sets))
+                tried = close if tried is None else tried.unionByName(close)
+            found = _list_pairs(ws, rows, classes, k)
+        pairs = ws.stage(_ordered(found, tried))
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -270,6 +271,12 @@ def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k
     return comps
 
 
+def _ordered(found: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The distinct pairs (x, y), x < y, that were not compared before."""
+    pairs = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")
+
+
 def _grown(ws: Workspace, comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components after more links; only the components that they join are worked on."""
     if comps is None:
