@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.text import version_key
+
 
 def valid_at(seq, vf: str = "valid_from", vt: str = "valid_to") -> Column:
     return (F.col(vf) <= seq) & (F.col(vt).isNull() | (F.col(vt) > seq))
@@ -57,6 +59,23 @@ def stale(derivations: DataFrame, current: DataFrame, facts: DataFrame) -> DataF
     return live(facts).join(moved, "fact_id", "left_semi")
 
 
+def precision(withdrawn: DataFrame, needed: DataFrame, key: list[str]) -> DataFrame:
+    """One row: facts withdrawn, facts that had to be, those of them that were missed, and the ratio (null if none had to be)."""
+    a, b = withdrawn.select(*key).distinct().withColumn("__w", F.lit(1)), needed.select(*key).distinct().withColumn("__n", F.lit(1))
+    out = a.join(b, key, "full_outer").agg(F.count("__w").alias("withdrawn"), F.count("__n").alias("needed"), F.count_if(F.col("__w").isNull()).alias("missed"))
+    return out.withColumn("ratio", F.when(F.col("needed") > 0, F.col("withdrawn") / F.col("needed")))
+
+
+def vulnerable(reached: DataFrame, modules: DataFrame, advisories: DataFrame, seq) -> DataFrame:
+    """(osv_id, module, version, sym): reached symbols named by an advisory (osv_id, module, introduced, fixed, sym) of
+    a module whose version live at seq is at least ``introduced`` and below ``fixed`` (null: no bound)."""
+    at = as_of(modules, seq).select("module", "version")
+    version = version_key(F.col("version"))
+    low = F.col("introduced").isNull() | (version >= version_key(F.col("introduced")))
+    high = F.col("fixed").isNull() | (version < version_key(F.col("fixed")))
+    return advisories.join(reached.select("sym"), "sym", "left_semi").join(at, "module").where(low & high).select("osv_id", "module", "version", "sym").distinct()
+
+
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

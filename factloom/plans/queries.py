@@ -189,6 +189,46 @@ def must_run_tier(w):
     return graph.reachable(_two_edge_sets(w)[0].where("prov = 'direct_call'"), w.roots())
 
 
+@query(
+    "SELECT sym FROM g",
+    f"gated AS (SELECT DISTINCT src, dst, prov, (dst * 31 + 7) % n.n AS gate FROM facts, n WHERE {_AT}), "
+    "g(sym) USING KEY (sym) AS (SELECT sym FROM roots UNION SELECT e.dst FROM (SELECT count(*) FROM g) AS latest, gated e "
+    "WHERE e.src IN (SELECT sym FROM recurring.g) AND (e.prov = 'direct_call' OR e.gate IN (SELECT sym FROM recurring.g)) AND e.dst NOT IN (SELECT sym FROM recurring.g))",
+)
+def rta_gated_reachable(w):
+    gate = (F.col("dst") * 31 + 7) % w.read("customer").count()
+    return graph.gated_reachable(_two_edge_sets(w)[0].withColumn("gate", gate), w.roots())
+
+
+@query(
+    "SELECT DISTINCT osv_id, a.module, version, sym FROM advisories a JOIN r USING (sym) JOIN modules m ON m.module = a.module "
+    f"WHERE valid_from <= {SEQ} AND (valid_to IS NULL OR valid_to > {SEQ}) AND CAST(split_part(version, '.', 2) AS BIGINT) >= introduced AND CAST(split_part(version, '.', 2) AS BIGINT) < fixed",
+    _REACH_AT,
+)
+def vulnerable_reachable(w):
+    return temporal.vulnerable(graph.reachable(_two_edge_sets(w)[0], w.roots()), w.modules(), w.advisories(), SEQ)
+
+
+_PRECISION = "SELECT '{0}' AS rule, CAST(count(*) FILTER ({1}) AS BIGINT) AS withdrawn, CAST(count(*) FILTER (gone) AS BIGINT) AS needed, CAST(count(*) FILTER (gone AND NOT ({1})) AS BIGINT) AS missed, CAST(count(*) FILTER ({1}) AS DOUBLE) / nullif(count(*) FILTER (gone), 0) AS ratio FROM ended"
+
+
+@query(
+    _PRECISION.format("caller", "caller_touched") + " UNION ALL " + _PRECISION.format("derivation", "gone"),
+    f"ended AS (SELECT *, bool_or(gone) OVER (PARTITION BY src) AS caller_touched FROM (SELECT src, dst, prov, site, coalesce(vt <= {SEQ + 1}, false) AS gone FROM facts WHERE {_AT}))",
+)
+def precision_ratio(w):
+    a, b = _two_edge_sets(w)
+    key = ["src", "dst", "prov", "site"]
+    needed = temporal.only_in(a, b, key)
+    by_caller = a.join(needed.select("src").distinct(), "src", "left_semi")
+    ids = lambda d: F.concat_ws("|", *[d[c].cast("string") for c in key])
+    ended = a.where(F.col("valid_to") <= SEQ + 1).withColumn("fact_id", ids(a)).withColumn("valid_to", F.lit(None).cast("long"))
+    derived = ended.select("fact_id", F.lit("FILE").alias("input_kind"), F.col("fact_id").alias("input_key"), F.lit("before").alias("input_hash"))
+    by_derivation = temporal.stale(derived, derived.select("input_kind", "input_key", F.lit("after").alias("input_hash")), ended)
+    rows = [temporal.precision(d, needed, key).select(F.lit(n).alias("rule"), "*") for n, d in (("caller", by_caller), ("derivation", by_derivation))]
+    return rows[0].unionByName(rows[1])
+
+
 @query("SELECT file, old_hash AS hash, 0::BIGINT AS valid_from, CASE WHEN old_hash IS DISTINCT FROM new_hash THEN 1::BIGINT END AS valid_to FROM versions WHERE old_hash IS NOT NULL UNION ALL SELECT file, new_hash, 1, NULL FROM versions WHERE new_hash IS NOT NULL AND old_hash IS DISTINCT FROM new_hash")
 def scd2_file_versions(w):
     v = w.versions()

@@ -24,6 +24,8 @@ symbols AS (SELECT user_id AS path, event_id AS symbol, 10 * row_number() OVER w
 hunks AS (SELECT user_id AS path, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) AS h_start, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) + 3 AS h_end FROM events WHERE event_type = 'error' AND regexp_matches(props, ': *[0-9]')),
 files AS (SELECT o_custkey AS file, CAST({MONTHS} AS BIGINT) AS seq, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS hash FROM orders GROUP BY 1, 2),
 versions AS (SELECT file, max_by(hash, seq) FILTER (seq <= 40) AS old_hash, max_by(hash, seq) FILTER (seq <= 41) AS new_hash FROM files GROUP BY file),
+modules AS (SELECT s_suppkey AS module, 'v1.' || s_nationkey || '.' || s_suppkey % 10 AS version, s_suppkey % 50 AS valid_from, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 50 + 20 END AS valid_to FROM supplier),
+advisories AS (SELECT 'OSV-' || c_custkey AS osv_id, c_custkey % s.n + 1 AS module, c_custkey % 20 AS introduced, c_custkey % 20 + 9 AS fixed, c_custkey AS sym FROM customer, (SELECT count(*) AS n FROM supplier) s),
 texts AS (SELECT doc_id AS symbol, source, sha256(text) AS hash_after, lag(sha256(text)) OVER w AS hash_before, CAST(strlen(text) % 7 AS VARCHAR) AS sig_after, lag(CAST(strlen(text) % 7 AS VARCHAR)) OVER w AS sig_before
   FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))
 """
@@ -88,3 +90,12 @@ class Workload:
         w = Window.partitionBy("source").orderBy("symbol")
         made = self.read("documents").select(F.col("doc_id").alias("symbol"), "source", F.sha2(F.col("text").cast("binary"), 256).alias("hash_after"), (F.octet_length("text") % 7).cast("string").alias("sig_after"))
         return made.withColumn("hash_before", F.lag("hash_after").over(w)).withColumn("sig_before", F.lag("sig_after").over(w))
+
+    def modules(self) -> DataFrame:
+        start = F.col("s_suppkey") % 50
+        version = F.concat(F.lit("v1."), F.col("s_nationkey").cast("string"), F.lit("."), (F.col("s_suppkey") % 10).cast("string"))
+        return self.read("supplier").select(F.col("s_suppkey").alias("module"), version.alias("version"), start.alias("valid_from"), F.when(F.col("s_suppkey") % 3 == 0, start + 20).alias("valid_to"))
+
+    def advisories(self) -> DataFrame:
+        n, key, minor = self.read("supplier").count(), F.col("c_custkey"), lambda x: F.concat(F.lit("v1."), x.cast("string"), F.lit(".0"))
+        return self.read("customer").select(F.concat(F.lit("OSV-"), key.cast("string")).alias("osv_id"), (key % n + 1).alias("module"), minor(key % 20).alias("introduced"), minor(key % 20 + 9).alias("fixed"), key.alias("sym"))

@@ -147,3 +147,38 @@ def test_classify(spark):
     rows = [("a", "s", "s", "h", "h"), ("b", "s", "t", "h", "h"), ("c", "s", "s", "h", "i"), ("d", None, "s", None, "i"), ("e", "s", None, "h", None)]
     out = dispatch.classify(spark.createDataFrame(rows, "symbol string, sig_before string, sig_after string, hash_before string, hash_after string"))
     assert {r.symbol: r.change for r in out.collect()} == {"a": "trivial", "b": "signature_change", "c": "logic_change", "d": "logic_change", "e": "logic_change"}
+
+
+def test_gate_opens_only_with_the_constructor(spark):
+    rng = random.Random(4)
+    given = [[("m", "i", "I", "c"), ("m", "d", "c", None), ("I", "d", "x", None)], [("m", "i", "I", "c"), ("I", "d", "c", None)], [("m", "i", "I", None)]]
+    nodes = "abcdefghij"
+    given += [[("m", "d", "a", None), ("m", "d", "b", None)] + [(a, *rng.choice([("d", b, None), ("i", b, rng.choice(nodes))])) for a in nodes for b in nodes if rng.random() < 0.25] for _ in range(3)]
+    for rows in given:
+        rows = [(r[0], "direct_call" if r[1] == "d" else "interface_resolved", *r[2:]) for r in rows]
+        seen = {"m"}
+        while new := {d for s, p, d, g in rows if s in seen and (p == "direct_call" or g in seen)} - seen:
+            seen |= new
+        df = spark.createDataFrame(rows, "src string, prov string, dst string, gate string")
+        assert syms(graph.gated_reachable(df, spark.createDataFrame([("m",)], "sym string"))) == seen
+
+
+def test_withdrawal_ratios(spark):
+    """A caller dispatches through two interfaces, and one of them changes: the rule by caller takes both facts."""
+    facts = spark.createDataFrame([("1", "f", "A.X", "I", None), ("2", "f", "B.Y", "J", None)], "fact_id string, src string, dst string, iface string, valid_to long")
+    needed = facts.where("iface = 'I'")
+    derived = facts.select("fact_id", F.lit("INTERFACE").alias("input_kind"), F.col("iface").alias("input_key"), F.lit("old").alias("input_hash"))
+    now = spark.createDataFrame([("INTERFACE", "I", "new"), ("INTERFACE", "J", "old")], "input_kind string, input_key string, input_hash string")
+    by_caller = facts.join(needed.select("src"), "src", "left_semi")
+    assert tuple(temporal.precision(by_caller, needed, ["fact_id"]).first()) == (2, 1, 0, 2.0)
+    assert tuple(temporal.precision(temporal.stale(derived, now, facts), needed, ["fact_id"]).first()) == (1, 1, 0, 1.0)
+    assert tuple(temporal.precision(facts.limit(0), needed, ["fact_id"]).first()) == (0, 1, 1, 0.0)
+
+
+def test_vulnerable_versions(spark):
+    modules = spark.createDataFrame([("a", "v1.9.0", 0, 5), ("a", "v1.10.0", 5, None), ("b", "v2.0.0-rc1", 0, None)], "module string, version string, valid_from long, valid_to long")
+    rows = [("O1", "a", "v1.2.0", "v1.10.0", "s"), ("O2", "a", "v1.10.0", None, "s"), ("O3", "b", None, "v2.0.0", "s"), ("O4", "b", "v2.0.0", None, "s"), ("O5", "a", None, None, "gone")]
+    advisories = spark.createDataFrame(rows, "osv_id string, module string, introduced string, fixed string, sym string")
+    reached = spark.createDataFrame([("s",)], "sym string")
+    at = lambda seq: {r.osv_id for r in temporal.vulnerable(reached, modules, advisories, seq).collect()}
+    assert at(4) == {"O1", "O3"} and at(5) == {"O2", "O3"}
