@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import version_key
+from factloom.schemas import DISPATCHED
 
 
 def valid_at(seq, vf: str = "valid_from", vt: str = "valid_to") -> Column:
@@ -85,6 +86,45 @@ def only_in(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return a.select(*key).distinct().join(b.select(*key).distinct(), key, "left_anti")
 
 
+def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row of each key, the last in order: what repeated upserts leave."""
+    return first_wins(rows.withColumns({f"__{c}": F.col(c) for c in order}), key, [F.desc(f"__{c}") for c in order]).drop(*[f"__{c}" for c in order])
+
+
+def change_log(facts: DataFrame, key: list[str]) -> DataFrame:
+    """key, seq, op: an open for each interval's begin and a close for its end."""
+    op = lambda at, name: facts.where(F.col(at).isNotNull()).select(*key, F.col(at).alias("seq"), F.lit(name).alias("op"))
+    return op("valid_from", "open").unionByName(op("valid_to", "close"))
+
+
+def intervals(log: DataFrame, key: list[str]) -> DataFrame:
+    """key, valid_from, valid_to from a log in which opens and closes of a key take turns; a close counts before an open of its seq."""
+    w = Window.partitionBy(*key).orderBy("seq", "op")
+    return log.withColumn("valid_to", F.lead("seq").over(w)).where("op = 'open'").select(*key, F.col("seq").alias("valid_from"), "valid_to")
+
+
+def recorded_hashes(derivations: DataFrame) -> DataFrame:
+    """(input_key, input_hash): the hash that the first fact of each FILE input has recorded."""
+    return derivations.where("input_kind = 'FILE'").groupBy("input_key").agg(F.min_by("input_hash", "fact_id").alias("input_hash"))
+
+
+def withdraw_dispatched(facts: DataFrame, callers: DataFrame) -> DataFrame:
+    """facts without the interface calls of callers (src)."""
+    dispatched = F.col("prov") == DISPATCHED
+    return facts.where(~dispatched).unionByName(facts.where(dispatched).join(callers.select("src").distinct(), "src", "left_anti").select(facts.columns))
+
+
+def report(a: DataFrame, b: DataFrame, key: list[str], rows: int = 10) -> DataFrame:
+    """side, key, more: the first rows that only one of two sets has, and how many more there are."""
+    out = None
+    for side, one, other in (("a", a, b), ("b", b, a)):
+        only = only_in(one, other, key)
+        total = only.agg(F.count("*").alias("n"))
+        part = only.orderBy(*key).limit(rows).join(F.broadcast(total)).select(F.lit(side).alias("side"), *key, F.greatest(F.col("n") - rows, F.lit(0).cast("long")).alias("more"))  # one row
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def fingerprints(commits: DataFrame) -> DataFrame:
     """(repo, seq, fingerprint): SHA-256 over the hashes up to seq, each ended by a newline."""
     w = Window.partitionBy("repo").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as names
-from factloom.operators import dispatch, graph, temporal
+from factloom.operators import derive, dispatch, graph, temporal
 from factloom.plans.workload import SQL, Workload
 
 SEQ = 60
@@ -286,6 +286,123 @@ def audits(w):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+@query("SELECT DISTINCT i.iface, m.type FROM (SELECT iface, method, count(*) OVER (PARTITION BY iface) AS n FROM (SELECT DISTINCT iface, method FROM refs)) i JOIN methods m USING (method) GROUP BY i.iface, m.type, i.n HAVING count(*) = i.n")
+def implements(w):
+    types = w.methods().groupBy("type").agg(F.collect_set(F.col("method").cast("string")).alias("methods"))
+    return derive.implementers(types, w.refs().groupBy("iface").agg(F.collect_set(F.col("method").cast("string")).alias("methods")))
+
+
+def _program(w, types: str = "true"):
+    """A program of the workload's call references: a file and a function per caller."""
+    file, t = F.concat(F.lit("s/"), F.col("caller").cast("string"), F.lit(".go")), F.col("type").cast("string")
+    refs = w.refs().select(file.alias("file"), F.concat(F.lit("s.F"), F.col("caller").cast("string")).alias("caller"), F.concat("iface", F.lit(".M"), F.col("method").cast("string")).alias("callee"), F.lit("interface_resolved").alias("kind"), F.col("method").cast("int").alias("line"))
+    files = refs.select("file", F.sha2("file", 256).alias("hash")).distinct()
+    methods = w.methods().select(F.concat(F.lit("t.(T"), t, F.lit(").M"), F.col("method").cast("string")).alias("name"))
+    return files, refs, w.type_ifaces().where(types).select(F.concat(F.lit("t.T"), t).alias("type"), "iface"), methods
+
+
+_PROGRAM = (
+    "calls AS (SELECT 's/' || caller || '.go' AS file, 's.F' || caller AS src, iface || '.M' || method AS callee, iface, method FROM refs), "
+    "resolved AS (SELECT iface, method, 't.(T' || t.type || ').M' || method AS target FROM type_ifaces t JOIN methods m ON m.type = t.type {0})"
+)
+
+
+@query(
+    "SELECT src, coalesce(target, callee) AS dst, file || ':' || calls.method AS site, sha256(file) AS file_hash, set_hash FROM calls LEFT JOIN resolved USING (iface, method) LEFT JOIN sets USING (iface)",
+    _PROGRAM.format("") + ", sets AS (SELECT iface, sha256(string_agg('t.T' || type || chr(10), '' ORDER BY 't.T' || type || chr(10))) AS set_hash FROM type_ifaces GROUP BY iface)",
+)
+def compute_facts(w):
+    of = lambda kind: F.filter("inputs", lambda i: i["input_kind"] == kind)[0]["input_hash"]
+    return derive.compute_facts(*_program(w)).select("src", "dst", "site", of("FILE").alias("file_hash"), of("INTERFACE").alias("set_hash"))
+
+
+_NEW_TYPES = "WHERE t.type % 10 <> 0"
+
+
+@query("SELECT DISTINCT src, coalesce(target, callee) AS dst FROM calls LEFT JOIN resolved USING (iface, method)", _PROGRAM.format(_NEW_TYPES))
+def maintained_facts(w):
+    """Kept up from one set of implementers to another, no file changed; the SQL is the full rebuild."""
+    old = derive.compute_facts(*_program(w)).withColumns({"valid_from": F.lit(0).cast("long"), "valid_to": F.lit(None).cast("long")})
+    new = derive.compute_facts(*_program(w, "type % 10 <> 0"))
+    return derive.maintain(old, new, w.spark.createDataFrame([], "file string"), 1).where("valid_to is null").select("src", "dst").distinct()
+
+
+@query("SELECT DISTINCT src, coalesce(target, callee) AS dst FROM calls LEFT JOIN resolved USING (iface, method)", _PROGRAM.format(_NEW_TYPES))
+def updated_snapshot(w):
+    """The earlier rule over the same change; the SQL is the full rebuild."""
+    old, new = _program(w), _program(w, "type % 10 <> 0")
+    edges, _ = derive.update_snapshot(derive.snapshot_edges(derive.compute_facts(*old)), old, new, w.spark.createDataFrame([], "file string"))
+    return edges.select("src", "dst").distinct()
+
+
+@query("SELECT src AS input_key, min_by(prov, site) AS input_hash FROM facts WHERE vt IS NULL GROUP BY src")
+def recorded_file_hash(w):
+    return temporal.recorded_hashes(w.facts().where("vt is null").select(F.col("site").alias("fact_id"), F.lit("FILE").alias("input_kind"), F.col("src").alias("input_key"), F.col("prov").alias("input_hash")))
+
+
+@query("SELECT src, dst, max(site) AS site FROM facts GROUP BY src, dst")
+def last_wins_upsert(w):
+    return temporal.last_wins(w.facts().select("src", "dst", "site"), ["src", "dst"], ["site"])
+
+
+@query("SELECT site FROM facts WHERE prov = 'direct_call' OR src NOT IN (SELECT sym FROM roots)")
+def retract_interface_edges(w):
+    return temporal.withdraw_dispatched(w.facts(), w.roots().withColumnRenamed("sym", "src")).select("site")
+
+
+@query("SELECT src, dst, prov, site, vf AS seq, 'open' AS op FROM facts UNION ALL SELECT src, dst, prov, site, vt, 'close' FROM facts WHERE vt IS NOT NULL")
+def change_log(w):
+    return temporal.change_log(_facts(w), ["src", "dst", "prov", "site"])
+
+
+@query("SELECT src, dst, prov, site, vf AS valid_from, vt AS valid_to FROM facts")
+def intervals_from_log(w):
+    key = ["src", "dst", "prov", "site"]
+    return temporal.intervals(temporal.change_log(_facts(w), key), key)
+
+
+@query(f"""SELECT 'a' AS side, src, dst, prov, greatest((SELECT count(*) FROM only_a) - 10, 0) AS more FROM (SELECT * FROM only_a ORDER BY src, dst, prov LIMIT 10)
+UNION ALL SELECT 'b', src, dst, prov, greatest((SELECT count(*) FROM only_b) - 10, 0) FROM (SELECT * FROM only_b ORDER BY src, dst, prov LIMIT 10)""", f"only_a AS (SELECT src, dst, prov FROM facts WHERE {_AT} EXCEPT SELECT src, dst, prov FROM facts WHERE {_AT2}), only_b AS (SELECT src, dst, prov FROM facts WHERE {_AT2} EXCEPT SELECT src, dst, prov FROM facts WHERE {_AT})")
+def edge_diff_report(w):
+    return temporal.report(*_two_edge_sets(w), ["src", "dst", "prov"])
+
+
+@query("SELECT path, symbol, line_start FROM symbols WHERE path IN (SELECT sym FROM roots)")
+def symbols_for_files(w):
+    return w.symbols().join(w.roots().withColumnRenamed("sym", "path"), "path", "left_semi").select("path", "symbol", "line_start").orderBy("path", "line_start")
+
+
+@query("SELECT seq, commit_hash FROM commits ORDER BY seq DESC LIMIT 5")
+def last_commits(w):
+    return w.commits().orderBy(F.desc("seq")).limit(5).orderBy("seq")
+
+
+@query("SELECT sym FROM r", "r(sym) AS (SELECT sym FROM roots UNION SELECT e.src FROM r JOIN edges e ON e.dst = r.sym)")
+def reverse_reachable(w):
+    return graph.reachable(graph.reverse(w.edges()), w.roots())
+
+
+@query("SELECT 'pkg.' || CASE WHEN p_size % 2 = 0 THEN 'Make' ELSE 'make' END || p_partkey AS sym FROM part WHERE p_size % 2 = 0 AND p_size % 5 <> 0")
+def entry_points(w):
+    name = F.concat(F.when(F.col("p_size") % 2 == 0, "Make").otherwise("make"), F.col("p_partkey").cast("string"))
+    kind = F.when(F.col("p_size") % 5 == 0, "type").when(F.col("p_size") % 3 == 0, "method").otherwise("function")
+    return derive.entry_points(w.read("part").select(F.lit("p.go").alias("file_path"), F.lit("pkg").alias("package"), kind.alias("kind"), name.alias("name"), F.concat(F.lit("pkg."), name).alias("qualified_name")))
+
+
+@query("""SELECT s_nationkey AS seq, count(*) FILTER (s_suppkey % 11 = 0) = 0 AND count(*) FILTER (s_suppkey % 7 = 0) = 0 AS clean,
+CASE WHEN count(*) FILTER (s_suppkey % 11 = 0) > 0 THEN 'type_errors' WHEN count(*) FILTER (s_suppkey % 7 = 0) > 0 THEN 'module_unavailable' END AS reason FROM supplier GROUP BY 1""")
+def commit_gate(w):
+    errors = F.when(F.col("s_suppkey") % 11 == 0, F.array(F.lit("undefined: x"))).otherwise(F.array().cast("array<string>"))
+    return derive.gate(w.read("supplier").select(F.col("s_nationkey").alias("seq"), F.col("s_name").alias("package"), errors.alias("errors"), (F.col("s_suppkey") % 7 != 0).alias("complete")), ["seq"]).select("seq", "clean", "reason")
+
+
+@query("SELECT quantile_cont(ratio, 0.5) AS p50, quantile_cont(ratio, 0.9) AS p90, quantile_cont(ratio, 0.99) AS p99 FROM ended", f"ended AS (SELECT src, count(*) / CAST(count(*) FILTER (vt <= {SEQ + 1}) AS DOUBLE) AS ratio FROM facts WHERE {_AT} GROUP BY src HAVING count(*) FILTER (vt <= {SEQ + 1}) > 0)")
+def precision_percentiles(w):
+    """Of the ratios by caller, where the rule by caller withdraws."""
+    ended = _two_edge_sets(w)[0].groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("valid_to") <= SEQ + 1).alias("gone")).where("gone > 0")
+    return ended.agg(*[F.percentile(F.col("n") / F.col("gone"), q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)])
+
+
 def run_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what the roots reach at SEQ, with depth and weakest link."""
     return QUERIES["weakest_link"](spark, sf_dir)

@@ -182,3 +182,9 @@ def test_vulnerable_versions(spark):
     reached = spark.createDataFrame([("s",)], "sym string")
     at = lambda seq: {r.osv_id for r in temporal.vulnerable(reached, modules, advisories, seq).collect()}
     assert at(4) == {"O1", "O3"} and at(5) == {"O2", "O3"}
+
+
+def test_impact_paths(spark):
+    given = spark.createDataFrame([("A", "B", 1), ("A", "C", 0), ("B", "D", 1), ("C", "D", 1), ("D", "A", 1), ("A", "E", 1), ("E", "D", 1)], "src string, dst string, rnk int")
+    out = graph.impact_paths(given, spark.createDataFrame([("A",)], "sym string"))
+    assert {r.sym: (r.depth, r.rnk, "".join(r.path)) for r in out.collect()} == {"B": (1, 1, "AB"), "C": (1, 0, "AC"), "E": (1, 1, "AE"), "D": (2, 1, "ABD")}
