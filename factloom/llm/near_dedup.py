@@ -47,6 +47,9 @@ HOT = 50
 HOT_DIFFERENCE = 500
 #: 64-bit words of a signature.
 WORDS = 8
+#: Buckets in which the values of hot lists are counted, and the parts in which the counts are summed.
+BUCKETS = 1 << 16
+SLICES = 64
 #: Classes whose texts may be picked out by a broadcast of their ids (20 MB); more are joined by a shuffle of the texts.
 PICK_ROWS = 200_000
 
@@ -345,22 +348,55 @@ def _list_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> D
     return _self_pairs(ws, ws.stage(plain.unionByName(_prefixes(ws, nodes, classes, k))), classes, k)
 
 
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (mix64(values) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def _rarity(sketches: DataFrame) -> np.ndarray:
+    """How many values of the sketches fall in each of BUCKETS buckets. Tasks count densely and are summed slice by slice, so what
+    the driver gets is as long for every input."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64)), minlength=BUCKETS)
+        if total.any():
+            slices = total.reshape(SLICES, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in slices], pa.binary())], names=["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return table.slice(0, 1).set_column(1, "counts", pa.array([total.tobytes()], pa.binary()))
+
+    schema = "slice int, counts binary"
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for row in sketches.select("sketch").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect():  # SLICES rows
+        out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)
+
+
 def _prefixes(ws: Workspace, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(key, node, comp, n, hub): the rarest values of each sketch, as many as any pair that passes the estimate shares one of."""
+    """(key, node, comp, n, hub): the rarest values of each sketch, as many as any pair that passes the estimate shares one of.
+
+    Any order that holds for all sketches serves; this one is by the values in a value's bucket, then by the value.
+    """
+    given = ws.stage(nodes.join(classes.select("node", "sketch"), "node").select("node", "comp", "n", "hub", "sketch"))
+    often = _rarity(given)
+    least = -(-int(THRESHOLD_PERCENT - 100 * MARGIN) * k // 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = batch.column("sketch").to_pylist()
-            at = pa.array(np.repeat(np.arange(len(sketches)), [len(x) // 8 for x in sketches]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sketches), np.int64)), *(batch.column(c).take(at) for c in ("node", "comp", "n", "hub"))], names=["key", "node", "comp", "n", "hub"])
-
-    given = nodes.join(classes.select("node", "sketch"), "node").select("node", "comp", "n", "hub", "sketch")
-    values = ws.stage(given.mapInArrow(run, "key long, node long, comp long, n long, hub long"))
-    rarity = ws.stage(values.groupBy("key").agg(F.count("*").alias("of")))
-    ordered = values.join(rarity, "key").groupBy("node", "comp", "n", "hub").agg(F.array_sort(F.collect_list(F.struct("of", "key"))).alias("v"))  # at most k values
-    shared = F.least(F.ceil(F.col("n") * THRESHOLD_PERCENT / 100), F.lit(int(np.ceil((THRESHOLD_PERCENT / 100 - MARGIN) * k))))
-    prefix = F.explode(F.slice("v", F.lit(1), (F.size("v") - shared + 1).cast("int")))
-    return ordered.select("node", "comp", "n", "hub", prefix.alias("x")).where("x.of > 1").select(F.col("x.key").alias("key"), "node", "comp", "n", "hub")
+            keys, counts = [np.zeros(0, np.uint64)], []
+            for sketch, n in zip(batch.column("sketch").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                values = np.frombuffer(sketch, np.uint64)
+                of = often[_bucket(values)]
+                first = np.lexsort((values, of))[: max(0, len(values) - min(-(-n * THRESHOLD_PERCENT // 100), least) + 1)]
+                keys.append(values[first[of[first] > 1]])
+                counts.append(len(keys[-1]))
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "comp", "n", "hub"))], names=["key", "node", "comp", "n", "hub"])
+
+    return given.mapInArrow(run, "key long, node long, comp long, n long, hub long")
 
 
 def differences(of: np.ndarray, hub: np.ndarray) -> np.ndarray:
