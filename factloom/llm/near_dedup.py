@@ -45,8 +45,9 @@ MARGIN = 0.25
 STAR_ROUNDS = 2
 HOT = 50
 HOT_DIFFERENCE = 500
-#: 64-bit words of a signature.
+#: 64-bit words of a signature, and of the parities of a set's differences from a hub.
 WORDS = 8
+PARITY_WORDS = 32
 #: Buckets in which the values of hot lists are counted, and the parts in which the counts are summed.
 BUCKETS = 1 << 16
 SLICES = 64
@@ -316,6 +317,19 @@ def _common_bits(a: str, b: str):
     return sum((F.bit_count(F.col(a)[i].bitwiseAND(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS words of 64 bits, each bit the parity of the count of values that fall on it.
+
+    The parities of two sets differ in no more bits than the sets in members.
+    """
+    odd = np.bincount((values % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _unlike_bits(a: str, b: str):
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY_WORDS)), F.lit(0))
+
+
 def _self_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(a, b) of rows (key, node, comp, n, hub) that share a key, but neither component nor family.
 
@@ -408,8 +422,8 @@ def differences(of: np.ndarray, hub: np.ndarray) -> np.ndarray:
 def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, sets: _Sets) -> DataFrame:
     """(a, b): classes of a family, but different components, that differ from its hub in the same way.
 
-    Similar classes have |x ^ y| <= 0.25 min(|x|, |y|), so they share at least (|Dx| + |Dy| - 0.25 min(|x|, |y|)) / 2 of
-    their differences Dx and Dy; pairs whose signatures show less than 0.8 of that are left out.
+    Similar classes have 9 |x ^ y| <= |x| + |y|, and x ^ y is Dx ^ Dy, where Dx and Dy are their differences. So pairs whose
+    numbers of differences, or whose parities, are further apart than that are left out, and no link is among them.
     """
     if comps is None:
         return ws.spark.createDataFrame([], "a long, b long")
@@ -426,7 +440,7 @@ def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, set
             for a, b, h in zip(*(batch.column(c).to_pylist() for c in ("mine", "central", "hub")), strict=True):
                 d = mix64(differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) + np.uint64(h))
                 found.append(d.tobytes())
-                signs.append(signature(d))
+                signs.append(parities(d))
                 sizes.append((len(a) // 8, len(d)))
             n, size = zip(*sizes, strict=True) if sizes else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -451,8 +465,9 @@ def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, set
     each = rows.join(counted, "key").select(F.when(F.col("rows") > HOT_DIFFERENCE, F.col("two")).otherwise(F.col("key")).alias("key"), "node")
     each = ws.stage(each.join(made.drop("diffs"), "node"))
     right = each.select("key", *[F.col(c).alias(f"r_{c}") for c in each.columns if c != "key"])
-    least = (F.col("d") + F.col("r_d") - 0.25 * F.least("n", "r_n")) / 2
-    apart = (F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & (_common_bits("signs", "r_signs") >= 0.8 * least)
+    most = F.col("n") + F.col("r_n")
+    apart = (F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & _similar_size("n", "r_n")
+    apart = apart & (9 * F.abs(F.col("d") - F.col("r_d")) <= most) & (9 * _unlike_bits("signs", "r_signs") <= most)
     return each.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
 
 

@@ -231,6 +231,48 @@ def test_near_duplicates_of_chains_and_small_sets(spark, monkeypatch):
         assert got(near_dedup.near_duplicates(spark, given, 2)) == brute_near(rows, 2)
 
 
+def family_of(spark, ws, sets):
+    """(classes, family, comps, sets) of shingle sets as texts of one-word shingles; node 0 is the hub of all others."""
+    texts = [(i, " ".join(x)) for i, x in enumerate(sets)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    classes = ws.stage(near_dedup.sketch_documents(docs, 1).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "digest", "sketch"))
+    family = spark.createDataFrame([(i, 0) for i in range(1, len(sets))], "node long, hub long")
+    return classes, family, spark.createDataFrame([], "node long, comp long"), near_dedup._Sets(ws, docs, classes, 1)
+
+
+def family_links(spark, sets):
+    """(links among a family's candidate pairs, its links by brute force)."""
+    with common.Workspace(spark, "test") as ws:
+        _, family, comps, full = family_of(spark, ws, sets)
+        pairs = near_dedup._ordered(near_dedup._family_pairs(ws, family, comps, full), None).collect()
+    alike = lambda a, b: len(a & b) * 100 >= 80 * len(a | b)
+    sets = [set(x) for x in sets]
+    want = {(i, j) for j in range(1, len(sets)) for i in range(1, j) if alike(sets[i], sets[j])}
+    return {(r.x, r.y) for r in pairs if alike(sets[r.x], sets[r.y])}, want
+
+
+def variants(rng, n, cut, own, count):
+    """A hub of n words and count pairs of variants: cut words of the hub are replaced alike in a pair, then own in each."""
+    hub = [f"h{i}" for i in range(n)]
+    out = [hub]
+    for g in range(count):
+        at = rng.sample(range(n), cut + 2 * own)
+        for k in range(2):
+            words = list(hub)
+            for i in at[:cut]:
+                words[i] = f"g{g}x{i}"
+            for i in at[cut + k * own : cut + (k + 1) * own]:
+                words[i] = f"o{g}x{k}x{i}"
+            out.append(words)
+    return out
+
+
+@pytest.mark.parametrize("n, cut, own", [(60, 7, 2), (1500, 200, 60), (5000, 700, 200)])
+def test_family_pairs_lose_no_link(spark, n, cut, own):
+    links, want = family_links(spark, variants(random.Random(n), n, cut, own, 4))
+    assert len(want) == 4 and links == want
+
+
 def test_packing(spark, docs, rows, none):
     path = P.path("byte_bpe_50k.json")
     out = packing.pack(spark, docs, path, with_ids=True)
