@@ -16,8 +16,8 @@ is below 0.8 and J(x, y) is not, then x and y share a member that the hub lacks,
 classes that share such a difference are compared; differences shared by more than HOT_DIFFERENCE classes are taken two
 at a time, as neighbours in hash order (the one place, besides the sketches, where a link can be lost by chance). Classes of no common family
 are compared where they share a list; those of lists of more than HOT classes, where they share one of the values of
-their sketches that are rarest there, so many of them that no pair that passes the estimate is left out. Lists that a
-single family fills are left to its differences. Components come from rounds of large-star and small-star steps on the verified links.
+their sketches that are rarest there, so many of them that no pair that passes the estimate is left out. A family's rows stay in its lists, for the classes of no
+or another family there; only pairs within it are left to its differences. Components come from rounds of large-star and small-star steps on the verified links.
 
 Defined results: a text without words, empty or null, has an empty set, is linked with nothing and is its own
 component; fewer words than a shingle count as one shingle; equal rows are linked; rows that share a doc_id but not
@@ -333,6 +333,7 @@ def _unlike_bits(a: str, b: str):
 def _self_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(a, b) of rows (key, node, comp, n, hub) that share a key, but neither component nor family.
 
+    The rows of a key's largest family are joined with the key's other rows only, never with each other.
     A pair that passes the estimate shares at least min(0.8 max(|x|, |y|), 0.55 k) values of its sketches; pairs whose
     signatures show less than 0.8 of that are left out.
     """
@@ -343,19 +344,22 @@ def _self_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(signs, pa.list_(pa.int64()))], names=["node", "signs"])
 
     signed = rows.select("node").distinct().join(classes.select("node", "sketch"), "node").mapInArrow(sign, "node long, signs array<bigint>")
-    rows = ws.stage(rows.join(signed, "node"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("hub").alias("h"), F.col("signs").alias("r_signs"))
+    filled = rows.where("hub is not null").groupBy("key", "hub").agg(F.count("*").alias("fill"))
+    main = ws.stage(filled.groupBy("key").agg(F.max(F.struct("fill", "hub")).alias("f")).select("key", F.col("f.hub").alias("main_hub")))
+    rows = rows.join(main, "key", "left").withColumn("main", F.coalesce(F.col("hub") == F.col("main_hub"), F.lit(False))).drop("main_hub")
+    some = ws.stage(rows.groupBy("key").agg(F.count("*").alias("all"), F.sum(F.col("main").cast("long")).alias("mains")).where("all > 1 and mains < all").select("key"))
+    rows = ws.stage(rows.join(some, "key").join(signed, "node"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("hub").alias("h"), F.col("signs").alias("r_signs"), F.col("main").alias("r_main"))
     shared = F.least(F.greatest("n", "m") * THRESHOLD_PERCENT / 100, F.lit((THRESHOLD_PERCENT / 100 - MARGIN) * k))
-    apart = (F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & _similar_size() & ~F.coalesce(F.col("hub") == F.col("h"), F.lit(False))
-    return rows.join(right, "key").where(apart & (_common_bits("signs", "r_signs") >= 0.8 * shared)).select(F.col("node").alias("a"), "b")
+    apart = (F.col("r_main") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("c")) & _similar_size() & ~F.coalesce(F.col("hub") == F.col("h"), F.lit(False))
+    return rows.where("not main").join(right, "key").where(apart & (_common_bits("signs", "r_signs") >= 0.8 * shared)).select(F.col("node").alias("a"), "b")
 
 
 def _list_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """Classes of different components and families that share a list, or where it is hot, a value of their prefixes."""
-    full = rows.where("hub is not null").groupBy("key", "hub").agg(F.count("*").alias("fill")).where(F.col("fill") > HOT).select("key", "hub")
-    rows = rows.join(ws.stage(full), ["key", "hub"], "left_anti").drop("rows")
-    rows = ws.stage(rows)
-    rows = rows.join(ws.stage(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")), "key")
+    own = F.coalesce("hub", -1 - F.col("node"))  # a class of no family stands for itself
+    mixed = ws.stage(rows.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"))
+    rows = ws.stage(rows.drop("rows").join(mixed, "key"))
     hot = F.col("rows") > HOT
     plain = rows.where(~hot).select("key", "node", "comp", "n", "hub")
     nodes = ws.stage(rows.where(hot).select("node", "comp", "n", "hub").distinct())

@@ -273,6 +273,21 @@ def test_family_pairs_lose_no_link(spark, n, cut, own):
     assert len(want) == 4 and links == want
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_list_pairs_across_families(spark, hot, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    words = [f"w{i}" for i in range(60)]
+    sets = [words, *([*words[:55], *(f"v{i}x{k}" for k in range(5))] for i in range(12))]
+    hubs = [None, 20, 20, 20, 20, 20, 20, 21, 21, 21, None, None, None]
+    with common.Workspace(spark, "test") as ws:
+        classes = family_of(spark, ws, sets)[0]
+        listed = spark.createDataFrame([(key, i, h) for key in (1, 2) for i, h in enumerate(hubs)], "key long, node long, hub long")
+        listed = listed.join(classes.select("node", "n"), "node").withColumn("comp", F.col("node")).withColumn("rows", F.lit(13).cast("long"))
+        pairs = near_dedup._ordered(near_dedup._list_pairs(ws, listed, classes, 64), None).collect()
+    want = {(i, j) for j in range(13) for i in range(j) if hubs[i] is None or hubs[i] != hubs[j]}
+    assert {(r.x, r.y) for r in pairs} == want
+
+
 def test_packing(spark, docs, rows, none):
     path = P.path("byte_bpe_50k.json")
     out = packing.pack(spark, docs, path, with_ids=True)
