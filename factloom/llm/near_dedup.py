@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, binaries, mix64, prefix_hash, span_hash
+from .common import Workspace, binaries, mix64, prefix_hash, span_hash, table
 
 SKETCH = 64
 RUN = 4
@@ -475,34 +475,64 @@ def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, set
     return each.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
 
 
+def _named(ws: Workspace, docs: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, digest of a row per document; digest, doc, comp of a row per class)."""
+    made = ws.stage(sketch_documents(docs, width, k))
+    full = made.where("n_shingles > 0")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = ws.stage(classes.withColumn("node", F.monotonically_increasing_id()))
+    comps = near_links(ws, docs, classes, width, k)
+    named = classes.select("digest", "node", "doc")
+    if comps is not None:
+        named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    else:
+        named = named.withColumn("comp", F.col("node"))
+    return made.select("doc_id", "n_shingles", "digest"), ws.stage(named.select("digest", "doc", "comp"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row per document."""
     with Workspace(spark, "near") as ws:
-        made = ws.stage(sketch_documents(docs, width, k))
-        full = made.where("n_shingles > 0")
-        classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-        classes = ws.stage(classes.withColumn("node", F.monotonically_increasing_id()))
-        comps = near_links(ws, docs, classes, width, k)
-        named = classes.select("digest", "node", "doc")
-        if comps is not None:
-            named = named.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            least = ws.stage(named.groupBy("comp").agg(F.min("doc").alias("component_id")))
-            named = named.join(least, "comp")
-        else:
-            named = named.withColumn("component_id", F.col("doc"))
-        named = ws.stage(named.select("digest", "component_id"))
-        out = made.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+        made, named = _named(ws, docs, width, k)
+        least = ws.stage(named.groupBy("comp").agg(F.min("doc").alias("component_id")))
+        named = ws.stage(named.join(least, "comp").select("digest", "component_id"))
+        out = made.join(named, "digest", "left")
         component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         return ws.keep(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
 
 
+def _digested(docs: DataFrame, width: int) -> DataFrame:
+    """The documents with __digest, the digest of the set, null for an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = (shingles(t, width) for t in binaries(batch.column("text")))
+            yield table(batch, (), __digest=pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()))
+
+    return docs.mapInArrow(run, docs.select("*").schema.add("__digest", "binary"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5) -> DataFrame:
-    """The documents that near_duplicates keeps, one row of each component, with all their columns."""
-    kept = near_duplicates(spark, docs, width).where("kept").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows"))
+    """One row of each component of near_duplicates, of the smallest doc_id in it, with all columns.
+
+    A doc_id that is null or repeated does not tell which of its texts is kept; there the set's digest does too. Rows without
+    words are all kept, as each is its own component.
+    """
     with Workspace(spark, "near") as ws:
-        kept = ws.keep(kept)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]))
-    if not kept.where("__rows > 1").isEmpty():  # repeated doc_ids: one row of each
-        once = out.where("__rows = 1")
-        out = once.unionByName(out.where("__rows > 1").dropDuplicates(["doc_id"]))
-    return out.select(*docs.columns)
+        made, named = _named(ws, docs, width, SKETCH)
+        first = named.groupBy("comp").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc", "digest")).alias("f"))
+        kept = first.select(F.col("f.doc").alias("doc_id"), F.col("f.digest").alias("digest"))
+        kept = ws.stage(kept.unionByName(made.where("n_shingles = 0").select("doc_id", F.lit(None).cast("binary").alias("digest"))))
+        repeated = ws.keep(made.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 or doc_id is null").select("doc_id"))
+        several = not repeated.isEmpty()
+        single = kept.where("doc_id is not null").select("doc_id")
+        if several:
+            single = single.join(repeated, "doc_id", "left_anti")
+            marked = Workspace(spark, "near").keep(kept.where("digest is not null").select(F.col("doc_id").alias("__kept"), F.col("digest").alias("__digest")))
+        single = Workspace(spark, "near").keep(single)
+    out = docs.join(single, "doc_id", "left_semi").select(*docs.columns)
+    if several:
+        doubtful = _digested(docs.where("doc_id is null").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)), width)
+        once = doubtful.where("__digest is not null").dropDuplicates(["doc_id", "__digest"]).join(marked, "__digest").where(F.col("doc_id").eqNullSafe(F.col("__kept")))
+        out = out.unionByName(once.select(*docs.columns)).unionByName(doubtful.where("__digest is null").select(*docs.columns))
+    return out

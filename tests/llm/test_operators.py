@@ -288,6 +288,20 @@ def test_list_pairs_across_families(spark, hot, monkeypatch):
     assert {(r.x, r.y) for r in pairs} == want
 
 
+def test_drop_near_duplicates_with_null_and_repeated_ids(spark, rows):
+    given = [(None if i % 3 == 0 else i % 25 if i % 3 == 1 else x[0], *x[1:]) for i, x in enumerate(rows)]
+    assert len({x[0] for x in given}) < len(given) / 2
+    of, ids, parts = {}, defaultdict(list), brute_near([(i, x[1]) for i, x in enumerate(given)], 5)
+    for i, _, least, _ in parts:
+        of[given[i][1]] = least if (given[i][1] or "").split() else None
+        ids[least].append(given[i][0])
+    least_ids = [min((x for x in v if x is not None), default=None) for v in ids.values()]
+    out = near_dedup.drop_near_duplicates(spark, spark.createDataFrame(given, SCHEMA).repartition(5), 5).collect()
+    assert Counter(r.doc_id for r in out) == Counter(least_ids)
+    assert all(tuple(r) in given for r in out)
+    assert max(Counter(c for r in out if (c := of[r.text]) is not None).values()) == 1
+
+
 def test_packing(spark, docs, rows, none):
     path = P.path("byte_bpe_50k.json")
     out = packing.pack(spark, docs, path, with_ids=True)
