@@ -13,8 +13,8 @@ them, its hub: the class whose lists are largest, in a group of near copies the
 that lie within one component are done. Classes that pass the estimate with a common hub are a family. If J(x, hub)
 is below 0.8 and J(x, y) is not, then x and y share a member that the hub lacks, or both lack the same member of the hub
 (else x & y would lie in the hub and the hub in x | y, so J(x, hub) >= J(x, y)). So within a family only
-classes that share such a difference are compared; differences shared by more than HOT_DIFFERENCE classes are taken two
-at a time, as neighbours in hash order (the one place, besides the sketches, where a link can be lost by chance). Classes of no common family
+classes that share such a difference are compared, and of each class's differences only the rarest in the family, so many of
+them that no link is left out. Classes of no common family
 are compared where they share a list; those of lists of more than HOT classes, where they share one of the values of
 their sketches that are rarest there, so many of them that no pair that passes the estimate is left out. A family's rows stay in its lists, for the classes of no
 or another family there; only pairs within it are left to its differences. Components come from rounds of large-star and small-star steps on the verified links.
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, binaries, mix64, prefix_hash, span_hash, table
@@ -44,7 +44,6 @@ THRESHOLD_PERCENT = 80
 MARGIN = 0.25
 STAR_ROUNDS = 2
 HOT = 50
-HOT_DIFFERENCE = 500
 #: 64-bit words of a signature, and of the parities of a set's differences from a hub.
 WORDS = 8
 PARITY_WORDS = 32
@@ -428,6 +427,10 @@ def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, set
 
     Similar classes have 9 |x ^ y| <= |x| + |y|, and x ^ y is Dx ^ Dy, where Dx and Dy are their differences. So pairs whose
     numbers of differences, or whose parities, are further apart than that are left out, and no link is among them.
+
+    Nor is every shared difference a key. As |x ^ y| <= |x| / 4 and |y| / 4, and a link of two components shares a difference,
+    x of |Dx| >= |Dy| shares at least max(1, |Dx| - |x| / 4) of its own, so one of its first |x| / 4 + 1 in any order that holds
+    for all, and y at least |Dy| - |y| / 8, so that one is also among y's first |y| / 8 + 1. The order is by frequency in the family.
     """
     if comps is None:
         return ws.spark.createDataFrame([], "a long, b long")
@@ -456,21 +459,23 @@ def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, set
         for batch in batches:
             each = [np.frombuffer(x, np.uint64) for x in batch.column("diffs").to_pylist()]
             if each:
-                two = [mix64(d * np.uint64(0x9E3779B97F4A7C15) + np.append(d[1:], np.uint64(0))) for d in each]
                 at = pa.array(np.repeat(np.arange(len(each)), [len(d) for d in each]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(each).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), batch.column("node").take(at), batch.column("comp").take(at)],
-                    names=["key", "two", "node", "comp"],
+                    [pa.array(np.concatenate(each).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "comp", "n", "d"))],
+                    names=["key", "node", "comp", "n", "d"],
                 )
 
     made = ws.stage(members.join(own, "node").join(central, "hub").mapInArrow(diffs, "node long, comp long, n long, d long, signs array<bigint>, diffs binary"))
-    rows = ws.stage(made.select("node", "comp", "diffs").mapInArrow(spread, "key long, two long, node long, comp long"))
+    rows = ws.stage(made.select("node", "comp", "n", "d", "diffs").mapInArrow(spread, "key long, node long, comp long, n long, d long"))
     counted = ws.stage(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "rows"))
-    each = rows.join(counted, "key").select(F.when(F.col("rows") > HOT_DIFFERENCE, F.col("two")).otherwise(F.col("key")).alias("key"), "node")
+    backward = Window.partitionBy("node").orderBy(F.desc("rows"), F.desc("key"))  # keys of one component come first in the order, so rank from the end
+    each = rows.join(counted, "key").withColumn("at", F.col("d") - F.row_number().over(backward))
+    each = each.where(F.col("at") <= F.floor(F.col("n") / 4)).select("key", "node", (F.col("at") <= F.floor(F.col("n") / 8)).alias("early"))
     each = ws.stage(each.join(made.drop("diffs"), "node"))
-    right = each.select("key", *[F.col(c).alias(f"r_{c}") for c in each.columns if c != "key"])
+    right = each.where("early").select("key", *[F.col(c).alias(f"r_{c}") for c in made.drop("diffs").columns])
     most = F.col("n") + F.col("r_n")
-    apart = (F.col("node") < F.col("r_node")) & (F.col("comp") != F.col("r_comp")) & _similar_size("n", "r_n")
+    larger = (F.col("d") > F.col("r_d")) | ((F.col("d") == F.col("r_d")) & (F.col("node") < F.col("r_node")))
+    apart = larger & (F.col("comp") != F.col("r_comp")) & _similar_size("n", "r_n")
     apart = apart & (9 * F.abs(F.col("d") - F.col("r_d")) <= most) & (9 * _unlike_bits("signs", "r_signs") <= most)
     return each.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
 

@@ -302,6 +302,19 @@ def test_drop_near_duplicates_with_null_and_repeated_ids(spark, rows):
     assert max(Counter(c for r in out if (c := of[r.text]) is not None).values()) == 1
 
 
+def test_family_pairs_share_hot_differences_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_DIFFERENCE", 2, raising=False)
+    rng = random.Random(9)
+    hub, sets = [f"h{i}" for i in range(70)], []
+    for _ in range(150):  # few places of change, so nearly every difference is shared by many
+        at = set(rng.sample(range(12), rng.randint(7, 9)))
+        sets.append([f"c{i}" if i in at else w for i, w in enumerate(hub)])
+    for i in range(0, 150, 3):  # with own differences between the shared ones
+        sets[i] = [f"o{i}x{k}" if 20 <= k < 20 + i % 7 else w for k, w in enumerate(sets[i])]
+    links, want = family_links(spark, [hub, *sets])
+    assert len(want) > 1000 and links == want
+
+
 def test_packing(spark, docs, rows, none):
     path = P.path("byte_bpe_50k.json")
     out = packing.pack(spark, docs, path, with_ids=True)
