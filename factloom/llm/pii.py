@@ -55,10 +55,8 @@ _WORDS = "|".join(sorted(DIGIT_OF, key=lambda w: (-len(w), w)))
 _RUN = re.compile(rf"(?<!\w)(?:(?:plus[ -])?(?:{_WORDS})(?:[ -]{{1,2}}|(?:,| dot| point)? ))(?:(?:{_WORDS}|[0-9]+)(?:[ -]{{1,2}}|(?:,| dot| point)? ))*(?:{_WORDS}|[0-9]+)(?!\w)", re.IGNORECASE)
 _PART = re.compile(rf"(?P<plus>plus[ -])|(?P<word>{_WORDS})|(?P<dot> (?:dot|point) )|(?P<gap>[ ,-]+)|[0-9]+", re.IGNORECASE)
 _SIGN = re.compile(r"[ \t]{0,3}(?:[\[({<][ ]?(?:(?P<at>at|@|arroba|chez)|(?P<dot>dot|\.|point|punkt|punto))[ ]?[\])}>])[ \t]{0,3}", re.IGNORECASE)
-_PROSE = re.compile(r"(?<= )(?P<at>at)(?= )|(?<= )(?P<dot>dot)(?= )", re.IGNORECASE)
+_PROSE = re.compile(r"(?<= )(?P<at>at)(?= )|(?<= )(?P<dot>dot)(?= )|(?P<sign>@)", re.IGNORECASE)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
-#: Something a transducer could rewrite; most texts have nothing of the kind.
-_HINT_CHARS = re.compile("[\u00a0\u00ad\u00b7\u0131\u0250-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2000-\u209f\u2212\u2460-\u24ff\u3002\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]")
 _HINT_SIGN = re.compile(r" [dD][oO][tT] |[\[({<] ?(?:[aA][tT]|@|[dD][oO][tT]|\.|arroba|chez|point|punkt|punto) ?[\])}>]")
 _HINT_WORDS = tuple(w for words in SPELLED.values() for w in words.split())
 
@@ -109,6 +107,19 @@ def fold(ch: str) -> str:
     return _folded[ch]
 
 
+def _changed() -> str:
+    """The characters that fold() changes, as ranges of a character class; none is beyond U+1FFFF."""
+    codes = [c for c in range(0x80, 0x20000) if (ch := chr(c)) in LOOKALIKES or ch in INVISIBLE or unicodedata.decimal(ch, None) is not None or unicodedata.decomposition(ch)]
+    codes = [c for c in codes if fold(chr(c)) != chr(c)]
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k + 1 == len(codes) or codes[k + 1] != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+
+
+#: Something a transducer could rewrite; most texts have nothing of the kind.
+_HINT_CHARS = re.compile(f"[\u00a0\u00ad\u00b7\u0131\u0250-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u2000-\u209f\u2212\u2460-\u24ff\u3002\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff{_changed()}]")
+
+
 class Rewritten:
     """A text under rewriting: its pieces that differ, as (start, end) in the text now and in the source."""
 
@@ -165,29 +176,38 @@ class Rewritten:
         return False
 
 
-def _prose_signs(text: str) -> list[tuple[int, int, str]]:
-    """Changes for `name at host dot tld`: an at with a name before it and a host with at least one dot after it."""
+def _prose_signs(r: Rewritten) -> list[tuple[int, int, str]]:
+    """Changes for `name at host dot tld`: an at or @ with a name before it and a host with at least one disguised dot after it.
+
+    A dot that was rewritten before counts as disguised; a plain one may stand between others, but does not make a host
+    of what follows an at.
+    """
     out: list[tuple[int, int, str]] = []
-    marks = list(_PROSE.finditer(text))
+    text, marks = r.text, list(_PROSE.finditer(r.text))
     for k, m in enumerate(marks):
-        if m["at"] is None or m.start() < 2 or text[m.start() - 2] not in LOCAL:
+        wide = 0 if m["sign"] else 1  # the spaces around a word belong to the disguise
+        if m["dot"] or m.start() < 1 + wide or text[m.start() - wide - 1] not in LOCAL:
             continue
-        at, dots = m.end() + 1, []
-        label = _LABEL.match(text, at)
-        j = k + 1
-        while label and j < len(marks) and marks[j]["dot"] and marks[j].start() == label.end() + 1:
-            nxt = _LABEL.match(text, marks[j].end() + 1)
-            if not nxt:
+        label, j, dots, hidden, good = _LABEL.match(text, m.end() + wide), k + 1, [], False, -1
+        while label:
+            end, ok = label.end(), hidden and len(label[0]) >= 2 and label[0].isalpha()
+            if j < len(marks) and marks[j]["dot"] and marks[j].start() == end + 1 and (label := _LABEL.match(text, marks[j].end() + 1)):
+                dots.append(marks[j])
+                hidden, j = True, j + 1
+            elif text[end : end + 1] == "." and (label := _LABEL.match(text, end + 1)):
+                rewritten = r.touched(end, end + 1)
+                good, hidden = len(dots) if ok and not rewritten else good, hidden or rewritten
+            else:
+                good = len(dots) if ok else good
                 break
-            dots.append(marks[j])
-            label, j = nxt, j + 1
-        if dots and len(label[0]) >= 2 and label[0].isalpha():
+        if good > 0 or good == 0 and m["at"]:
             before, i = [], k - 1
-            left = m
-            while i >= 0 and marks[i]["dot"] and _one_word(text[marks[i].end() + 1 : left.start() - 1]) and marks[i].start() >= 2 and text[marks[i].start() - 2] in LOCAL:
+            left = m.start() - wide
+            while i >= 0 and marks[i]["dot"] and _one_word(text[marks[i].end() + 1 : left]) and marks[i].start() >= 2 and text[marks[i].start() - 2] in LOCAL:
                 before.append(marks[i])
-                left, i = marks[i], i - 1
-            out += [(x.start() - 1, x.end() + 1, "." if x["dot"] else "@") for x in [*reversed(before), m, *dots]]
+                left, i = marks[i].start() - 1, i - 1
+            signs = [*reversed(before), *([] if m["sign"] else [m]), *dots[:good]]
+            out += [(x.start() - 1, x.end() + 1, "." if x["dot"] else "@") for x in signs]
     return [c for k, c in enumerate(out) if not k or c[0] >= out[k - 1][1]]
 
 
@@ -227,7 +247,7 @@ def rewrite(text: str) -> Rewritten | None:
     r.apply([(*m.span(), "@" if m["at"] else ".") for m in _SIGN.finditer(r.text) if _inside(r.text, m)])
     if spelled:
         r.apply(_spelled(r.text))
-    r.apply(_prose_signs(r.text))
+    r.apply(_prose_signs(r))
     return r if r.edits else None
 
 

@@ -439,6 +439,35 @@ def test_pii_disguises(text, kind, found):
     assert pii.mask(text, every) == text.replace(found, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("to jane [at] example dot com now", "jane [at] example dot com"),
+        ("to jane at example [dot] com now", "jane at example [dot] com"),
+        ("to jane@example dot com now", "jane@example dot com"),
+        ("to jane dot roe (at) mail dot example [dot] com.", "jane dot roe (at) mail dot example [dot] com"),
+        ("to jane at mail.example dot com.", "jane at mail.example dot com"),
+        ("to jane at example\u3002com now", "jane at example\u3002com"),
+        ("to jane\ufe6bexample\ufe52com now", "jane\ufe6bexample\ufe52com"),
+    ],
+)
+def test_pii_mixed_disguises(text, found):
+    assert [(text[s:e], k) for s, e, k in pii.all_spans(text)[1]] == [(found, "email")]
+
+
+@pytest.mark.parametrize("text", ["look at example.com now", "look at 3.5 dot", "@ dot com", "a@ dot com", "me@home dot 5", "see [at] dot com"])
+def test_pii_leaves_plain_dots_alone(text):
+    assert pii.all_spans(text) == ([], [])
+
+
+def test_pii_hints_hold_all_that_folds():
+    lost = [c for c in map(chr, range(0x110000)) if pii.fold(c) != c and not pii._HINT_CHARS.search(c)]
+    assert not lost
+    for zero in "\u09e6\u0e50\u2070":  # Bengali, Thai, superscript
+        text = f"card {zero.join('4111')} x {''.join(chr(ord('\u09e6') + int(d)) if zero != '\u0e50' else chr(0xe50 + int(d)) for d in '4111111111111111')} end"
+        assert [k for _, _, k in pii.all_spans(text)[1]] == ["card"], text
+
+
 @pytest.mark.parametrize("text", ["meet at noon the dot is", "one two three trees at the dot", "", "at dot", "look at that. dot", "five six seven", "(at) (dot)"])
 def test_pii_leaves_prose_alone(text):
     assert pii.all_spans(text) == ([], [])
