@@ -55,7 +55,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Tokenizing and similarity by sketches are beyond SQL; tests compare the pipeline with a brute-force version.
+#: Tokenizing and similarity by sketches are beyond SQL; tests compare the stages' operators with brute force, no test runs the whole pipeline.
 ORACLE_SQL = None
 
 
