@@ -1,23 +1,24 @@
 """Operator 4: near-duplicates by bottom-k sketches from one hash function.
 
 Each document's set of word shingles is hashed by one function; its sketch is the ``k`` smallest values. Equal sets
-collapse to a class first, so copies cost nothing later. Inverted lists give the overlaps: a list's key is a run of
-RUN retained values that follow each other in a sketch, as single values can be in a third of all documents. Two
-sets of similarity 0.8 or more share such a run: always, where both sketches hold the whole sets (shorter runs are
-added for sets so small that four cannot be guaranteed), else but for a chance of one in a million at exactly 0.8.
-A pair is then estimated from its union sketch (the k smallest of both), which drops pairs that are five standard
-deviations below the threshold, and verified on the full sets.
-
-No list is expanded into all its pairs. In each of STAR_ROUNDS rounds the classes of a list are compared with one of
-them, its hub: the class whose lists are largest, in a group of near copies the text that the others stem from. Lists
-that lie within one component are done. Classes that pass the estimate with a common hub are a family. If J(x, hub)
-is below 0.8 and J(x, y) is not, then x and y share a member that the hub lacks, or both lack the same member of the hub
-(else x & y would lie in the hub and the hub in x | y, so J(x, hub) >= J(x, y)). So within a family only
-classes that share such a difference are compared, and of each class's differences only the rarest in the family, so many of
-them that no link is left out. Classes of no common family
-are compared where they share a list; those of lists of more than HOT classes, where they share one of the values of
-their sketches that are rarest there, so many of them that no pair that passes the estimate is left out. A family's rows stay in its lists, for the classes of no
-or another family there; only pairs within it are left to its differences. Components come from rounds of large-star and small-star steps on the verified links.
+collapse to a class first, so copies cost nothing later. Inverted lists of the retained values generate the overlaps.
+Not every value needs a list: with the values of a sketch in one order for all, here the rarest first, two sketches
+that share c values share one among the first (size - c + 1) of each. Lists that hold more than one class are few then,
+as most texts have enough values of their own. A pair of a list is estimated from its union sketch (the k smallest of
+both), which drops pairs that are five standard deviations below the threshold, and verified on the full sets.
+
+No list is expanded into all its pairs. First the classes of each list are compared with one of them, its hub: the class
+whose values are the most frequent, in a group of near copies the text that the others stem from. Rows of one component
+need not be compared again. What is left of lists of at most HOT rows is paired. The classes of larger ones are compared on
+their full sets, by the same prefixes, now without chance: two sets that share their first common member at the
+places i and j have at most min(n - i, m - j) members in common, and a link needs 4 / 9 (n + m). In a group of near copies the
+rarest members are each text's own changes, so that bound leaves out most of what is not similar before it is paired, and
+what is similar to a hub is in its component already. Classes that were compared with the same hub are a family; two of them are
+paired only if they differ from the hub in the same way (see _family_pairs), so a group whose texts are all nearly similar
+stays small, however large it is. No bound leaves out a link.
+
+A link is missed by chance only where a sketch does not hold its whole set: about once in a million at similarity 0.8, less
+above. Components come from rounds of large-star and small-star steps on the verified links.
 
 Defined results: a text without words, empty or null, has an empty set, is linked with nothing and is its own
 component; fewer words than a shingle count as one shingle; equal rows are linked; rows that share a doc_id but not
@@ -32,23 +33,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, binaries, mix64, prefix_hash, span_hash, table
 
 SKETCH = 64
-RUN = 4
 THRESHOLD_PERCENT = 80
 #: Five standard deviations of the union sketch's estimate at the threshold.
 MARGIN = 0.25
-STAR_ROUNDS = 2
+#: Rows of a list that is paired directly; larger lists are compared on full sets.
 HOT = 50
-#: 64-bit words of a signature, and of the parities of a set's differences from a hub.
-WORDS = 8
-PARITY_WORDS = 32
-#: Buckets in which the values of hot lists are counted, and the parts in which the counts are summed.
-BUCKETS = 1 << 16
+#: How often the large lists of full sets are compared with a hub before they are paired.
+HUB_ROUNDS = 2
+#: 64-bit words of the parities of a set's differences from a hub.
+PARITY_WORDS = 16
+#: Buckets in which members of sets are counted, and the parts in which the counts are summed.
+BUCKETS = 1 << 18
 SLICES = 64
 #: Classes whose texts may be picked out by a broadcast of their ids (20 MB); more are joined by a shuffle of the texts.
 PICK_ROWS = 200_000
@@ -75,19 +76,6 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(mix64(acc))
 
 
-def run_keys(sketch: np.ndarray, n: int) -> np.ndarray:
-    """The keys of a set's inverted lists; n is the size of the whole set."""
-    runs = [RUN, *([3] if n <= 15 else []), *([2] if n <= 9 else [])]
-    out = [np.zeros(0, np.uint64)]
-    for r in runs:
-        if len(sketch) >= r:
-            acc = sketch[: len(sketch) - r + 1] + np.uint64(r)
-            for j in range(1, r):
-                acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + sketch[j : len(sketch) - r + 1 + j])
-            out.append(acc)
-    return np.concatenate(out)
-
-
 def sketch_documents(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
     """doc_id, n_shingles, digest of the set (16 bytes), sketch (k unsigned 64-bit values as bytes)."""
 
@@ -102,22 +90,35 @@ def sketch_documents(docs: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """(key, node, n): the inverted lists."""
+def _retained(classes: DataFrame) -> DataFrame:
+    """(key, node, n): the inverted lists of all retained values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-            keys = [run_keys(np.frombuffer(s, np.uint64), int(n)) for s, n in zip(batch.column("sketch").to_pylist(), sizes, strict=True)]
-            if keys:
-                counts = np.array([len(x) for x in keys], np.int64)
-                flat = np.concatenate(keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(nodes, counts)), pa.array(np.repeat(sizes, counts))], names=["key", "node", "n"])
+            sketches = batch.column("sketch").to_pylist()
+            if sketches:
+                at = pa.array(np.repeat(np.arange(len(sketches)), [len(s) // 8 for s in sketches]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sketches), np.int64)), batch.column("node").take(at), batch.column("n").take(at)], names=["key", "node", "n"])
 
     return classes.select("node", "n", "sketch").mapInArrow(run, "key long, node long, n long")
 
 
-def _similar_size(a: str = "n", b: str = "m"):
+def _lists(ws: Workspace, classes: DataFrame, k: int) -> DataFrame:
+    """(key, node, n, at, weight): the rows of the lists that a pair which passes the estimate shares one of.
+
+    Such a pair shares at least min(0.8 n, 0.55 k) values of its sketches. ``at`` is a value's place in the sketch, rarest first;
+    values of one class only come before all others and need no row. weight sums up how often a class's values occur.
+    """
+    every = _retained(classes)
+    several = ws.stage(every.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    own = Window.partitionBy("node")
+    held = F.least("n", F.lit(k))
+    least = F.least(F.ceil(F.col("n") * THRESHOLD_PERCENT / 100), F.lit(-(-int(THRESHOLD_PERCENT - 100 * MARGIN) * k // 100)))
+    placed = every.join(several, "key").withColumns({"at": held - F.count("*").over(own) + F.row_number().over(own.orderBy("rows", "key")) - 1, "weight": F.sum("rows").over(own)})
+    return ws.stage(placed.where(F.col("at") <= held - least).select("key", "node", "n", "at", "weight"))
+
+
+def _similar_size(a: str = "n", b: str = "m") -> Column:
     return (F.col(a) * 100 >= F.col(b) * THRESHOLD_PERCENT) & (F.col(b) * 100 >= F.col(a) * THRESHOLD_PERCENT)
 
 
@@ -157,18 +158,18 @@ def _judge(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 
 class _Sets:
-    """Full sets of the classes that pass an estimate, read from the texts once per class."""
+    """Full sets of the classes that need them, read from the texts once per class."""
 
     def __init__(self, ws: Workspace, docs: DataFrame, classes: DataFrame, width: int):
         self.ws, self.docs, self.classes, self.width = ws, docs, classes, width
         self.known = classes.where(F.octet_length("sketch") == 8 * F.col("n")).select("node", F.col("sketch").alias("shingles"))  # whole sets already
 
     def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of nodes (node) and of others that were read before; a row per class."""
         nodes = nodes.join(self.known.select("node"), "node", "left_anti")
         nodes = self.ws.stage(nodes.join(self.classes.select("node", "doc", "digest"), "node"))
-        if not nodes.isEmpty():
-            if nodes.count() <= PICK_ROWS:
-                nodes = F.broadcast(nodes)
+        if count := nodes.count():
+            wanted = F.broadcast(nodes) if count <= PICK_ROWS else nodes
             texts = self.docs.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("__text"))
             width = self.width
 
@@ -182,15 +183,18 @@ class _Sets:
                             sets.append(raw)
                     yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-            found = texts.join(nodes, texts["doc"].eqNullSafe(nodes["doc"])).select("node", "digest", "__text").mapInArrow(run, "node long, shingles binary")
-            self.known = self.known.unionByName(self.ws.stage(found))
+            found = texts.join(wanted, texts["doc"].eqNullSafe(wanted["doc"])).select("node", "digest", "__text").mapInArrow(run, "node long, shingles binary")
+            found = self.ws.stage(found)
+            if found.count() > count:  # the doc_id and its text are repeated
+                found = self.ws.stage(found.dropDuplicates(["node"]))
+            self.known = self.known.unionByName(found)
         return self.known
 
 
-def _verify(ws: Workspace, judged: DataFrame, sets: _Sets) -> DataFrame:
-    """(x, y) of the pairs that are links on their full sets."""
+def _verify(ws: Workspace, judged: DataFrame, sets: _Sets, read: bool = True) -> DataFrame:
+    """(x, y) of the pairs that are links on their full sets; these are known already unless ``read``."""
     open_ = judged.where("not sure").select("x", "y")
-    known = sets.of(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct())
+    known = sets.of(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct()) if read else sets.known
     one, two = (known.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}")) for n in "xy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +203,7 @@ def _verify(ws: Workspace, judged: DataFrame, sets: _Sets) -> DataFrame:
             ok = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in rows]
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    checked = open_.join(one, "x").join(two, "y").mapInArrow(run, "x long, y long").distinct()
+    checked = open_.join(one, "x").join(two, "y").mapInArrow(run, "x long, y long")
     return ws.stage(judged.where("sure").select("x", "y").unionByName(checked))
 
 
@@ -209,13 +213,12 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
 
-    edges = ws.stage(edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
-    before = mark(edges)
+    edges, before = edges.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), None
     while True:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        low = ws.stage(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("low")))
+        low = both.groupBy("x").agg(F.min("y").alias("least")).select("x", F.least("least", "x").alias("low"))
         large = ws.stage(both.where("y > x").join(low, "x").select(F.col("y").alias("x"), F.col("low").alias("y")).distinct())
-        low = ws.stage(large.groupBy("x").agg(F.min("y").alias("low")))
+        low = large.groupBy("x").agg(F.min("y").alias("low"))
         small = large.join(low, "x").where("y <> low").select(F.greatest("y", "low").alias("x"), F.least("y", "low").alias("y"))
         edges = ws.stage(small.unionByName(low.select("x", F.col("low").alias("y"))).where("x <> y").distinct())
         after = mark(edges)
@@ -224,159 +227,83 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _open_rows(ws: Workspace, lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Rows of lists that still hold more than one component, with the components."""
-    if comps is not None:
-        lists = lists.drop("comp").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    else:
-        lists = lists.withColumn("comp", F.col("node"))
-    lists = ws.stage(lists)
-    several = ws.stage(lists.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("rows")).where("a <> b").select("key", "rows"))
-    return ws.stage(lists.drop("rows").join(several, "key"))
-
-
-def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k: int = SKETCH) -> DataFrame:
-    """(node, comp) of the classes that are linked with another."""
-    lists = _lists(classes)
-    several = ws.stage(lists.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
-    rows = ws.stage(lists.join(several, "key"))
-    weight = ws.stage(rows.groupBy("node").agg(F.sum("rows").alias("weight")))
-    rows = ws.stage(rows.join(weight, "node"))
-    sets, comps, tried, family = _Sets(ws, docs, classes, width), None, None, None
-    for step in range(STAR_ROUNDS + 1):
-        rows = _open_rows(ws, rows, comps)
-        if rows.isEmpty():
-            break
-        if step < STAR_ROUNDS:
-            order = F.struct("weight", "node", "comp", "n")
-            hub = ws.stage(rows.groupBy("key").agg(F.max(order).alias("h")).select("key", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("m")))
-            rows = ws.stage(rows.join(hub, "key").where("node <> hub"))  # the hub's pairs in this list are done with this round
-            found = rows.where((F.col("comp") != F.col("hub_comp")) & _similar_size()).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-            rows = rows.drop("hub", "hub_comp", "m")
-        else:
-            rows = ws.stage(rows.join(_families(ws, family, weight), "node", "left"))
-            close = _ordered(_family_pairs(ws, _families(ws, family, weight), comps, sets), tried)
-            if not (close := ws.stage(close)).isEmpty():  # their full sets are known, so they need no estimate
-                comps = _grown(ws, comps, _verify(ws, close.withColumn("sure", F.lit(False)), sets))
-                tried = close if tried is None else tried.unionByName(close)
-            found = _list_pairs(ws, rows, classes, k)
-        pairs = ws.stage(_ordered(found, tried))
-        if pairs.isEmpty():
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        judged = ws.stage(_judge(pairs, classes, k))
-        if step < STAR_ROUNDS:
-            near = judged.select(F.explode(F.array(F.struct(F.col("x").alias("node"), F.col("y").alias("hub")), F.struct(F.col("y").alias("node"), F.col("x").alias("hub")))).alias("f")).select("f.node", "f.hub")
-            near = near.join(hub.select("hub").distinct(), "hub", "left_semi")
-            family = near if family is None else family.unionByName(near)
-        new = _verify(ws, judged, sets)
-        comps = _grown(ws, comps, new)
-    return comps
-
-
-def _ordered(found: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """The distinct pairs (x, y), x < y, that were not compared before."""
-    pairs = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    return pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")
-
-
-def _grown(ws: Workspace, comps: DataFrame | None, links: DataFrame) -> DataFrame:
+def _grown(ws: Workspace, comps: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """The components after more links; only the components that they join are worked on."""
+    if links.isEmpty():
+        return comps
     if comps is None:
-        return ws.stage(components(ws, links))
+        return components(ws, links)
     for c in "xy":
         label = comps.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp"))
         links = links.join(label, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
-    links = ws.stage(links)
     joined = ws.stage(links.where("x_comp <> y_comp").select(F.col("x_comp").alias("x"), F.col("y_comp").alias("y")).distinct())
     if joined.isEmpty():
         return comps
-    moved = ws.stage(components(ws, joined))  # of the components' smallest nodes
+    moved = components(ws, joined)  # of the components' smallest nodes
     moves = moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
     return ws.stage(comps.join(moves, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).unionByName(moved))
 
 
-def _families(ws: Workspace, family: DataFrame | None, weight: DataFrame) -> DataFrame:
-    """(node, hub): the heaviest hub that each class passes the estimate with."""
-    if family is None:
-        return ws.spark.createDataFrame([], "node long, hub long")
-    heavy = weight.select(F.col("node").alias("hub"), "weight")
-    best = family.join(heavy, "hub").groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("h"))
-    return best.select("node", F.col("h.hub").alias("hub"))
-
-
-def signature(values: np.ndarray) -> np.ndarray:
-    """WORDS words of 64 bits with a bit set for each value."""
-    bits = np.zeros(64 * WORDS, np.uint8)
-    bits[(values % np.uint64(64 * WORDS)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
-
-
-def _common_bits(a: str, b: str):
-    return sum((F.bit_count(F.col(a)[i].bitwiseAND(F.col(b)[i])) for i in range(WORDS)), F.lit(0))
+def _open(ws: Workspace, rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The rows of lists that still hold more than one component, with comp and the number of the list's rows."""
+    rows = rows.drop("comp", "rows")
+    if comps is None:
+        rows = rows.withColumn("comp", F.col("node"))
+    else:
+        rows = ws.stage(rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("rows")).where("a <> b").select("key", "rows")
+    return ws.stage(rows.join(several, "key"))
 
 
-def parities(values: np.ndarray) -> np.ndarray:
-    """PARITY_WORDS words of 64 bits, each bit the parity of the count of values that fall on it.
-
-    The parities of two sets differ in no more bits than the sets in members.
-    """
-    odd = np.bincount((values % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def _ordered(found: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The distinct pairs (x, y), x < y, of pairs (a, b) that were not compared before."""
+    pairs = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    return pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti")
 
 
-def _unlike_bits(a: str, b: str):
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITY_WORDS)), F.lit(0))
+def _hub_pairs(ws: Workspace, rows: DataFrame, hubs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of each list's rows with the list's hub, (key, node, hub, weight) of all rows and hubs so far). A list's next hub is
+    of a component that none of its hubs is of."""
+    free = rows
+    if hubs is not None:
+        used = rows.join(hubs.where("node = hub").select("key", "node"), ["key", "node"]).select("key", "comp").distinct()
+        free = rows.join(used, ["key", "comp"], "left_anti")
+    best = free.groupBy("key").agg(F.max(F.struct("weight", "node", "comp", "n")).alias("h"))
+    rows = ws.stage(rows.drop("weight").join(best, "key").select("key", "node", "comp", "n", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("m"), F.col("h.weight").alias("weight")))
+    pairs = rows.where((F.col("comp") != F.col("hub_comp")) & _similar_size()).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    mine = rows.select("key", "node", "hub", "weight")
+    return pairs, mine if hubs is None else hubs.unionByName(mine)
 
 
-def _self_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(a, b) of rows (key, node, comp, n, hub) that share a key, but neither component nor family.
+def _list_pairs(rows: DataFrame, whole: Column) -> DataFrame:
+    """(a, b): classes of a list, of similar size, but different components.
 
-    The rows of a key's largest family are joined with the key's other rows only, never with each other.
-    A pair that passes the estimate shares at least min(0.8 max(|x|, |y|), 0.55 k) values of its sketches; pairs whose
-    signatures show less than 0.8 of that are left out.
+    Where the sets of both are whole a pair is left out if what follows its places cannot hold as many common members as a link has. That
+    holds for the first value that the two share, and one value is enough.
     """
+    rows = rows.select("key", "node", "comp", "n", "at", whole.alias("whole"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("at").alias("r_at"), F.col("whole").alias("r_whole"))
+    return rows.join(right, "key").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("c")) & _similar_size() & (~F.col("whole") | ~F.col("r_whole") | _fits())).select(F.col("node").alias("a"), "b")
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signs = [signature(mix64(np.frombuffer(x, np.uint64))) for x in batch.column("sketch").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(signs, pa.list_(pa.int64()))], names=["node", "signs"])
 
-    signed = rows.select("node").distinct().join(classes.select("node", "sketch"), "node").mapInArrow(sign, "node long, signs array<bigint>")
-    filled = rows.where("hub is not null").groupBy("key", "hub").agg(F.count("*").alias("fill"))
-    main = ws.stage(filled.groupBy("key").agg(F.max(F.struct("fill", "hub")).alias("f")).select("key", F.col("f.hub").alias("main_hub")))
-    rows = rows.join(main, "key", "left").withColumn("main", F.coalesce(F.col("hub") == F.col("main_hub"), F.lit(False))).drop("main_hub")
-    some = ws.stage(rows.groupBy("key").agg(F.count("*").alias("all"), F.sum(F.col("main").cast("long")).alias("mains")).where("all > 1 and mains < all").select("key"))
-    rows = ws.stage(rows.join(some, "key").join(signed, "node"))
-    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("hub").alias("h"), F.col("signs").alias("r_signs"), F.col("main").alias("r_main"))
-    shared = F.least(F.greatest("n", "m") * THRESHOLD_PERCENT / 100, F.lit((THRESHOLD_PERCENT / 100 - MARGIN) * k))
-    apart = (F.col("r_main") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("c")) & _similar_size() & ~F.coalesce(F.col("hub") == F.col("h"), F.lit(False))
-    return rows.where("not main").join(right, "key").where(apart & (_common_bits("signs", "r_signs") >= 0.8 * shared)).select(F.col("node").alias("a"), "b")
-
-
-def _list_pairs(ws: Workspace, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """Classes of different components and families that share a list, or where it is hot, a value of their prefixes."""
-    own = F.coalesce("hub", -1 - F.col("node"))  # a class of no family stands for itself
-    mixed = ws.stage(rows.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"))
-    rows = ws.stage(rows.drop("rows").join(mixed, "key"))
-    hot = F.col("rows") > HOT
-    plain = rows.where(~hot).select("key", "node", "comp", "n", "hub")
-    nodes = ws.stage(rows.where(hot).select("node", "comp", "n", "hub").distinct())
-    return _self_pairs(ws, ws.stage(plain.unionByName(_prefixes(ws, nodes, classes, k))), classes, k)
+def _fits() -> Column:
+    """Whether sets of n and m members that share their first common one at the places at and r_at can be linked: 9 |x & y| >= 4 (n + m)."""
+    least = 4 * (F.col("n") + F.col("m"))
+    return (9 * (F.col("n") - F.col("at")) >= least) & (9 * (F.col("m") - F.col("r_at")) >= least)
 
 
 def _bucket(values: np.ndarray) -> np.ndarray:
     return (mix64(values) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def _rarity(sketches: DataFrame) -> np.ndarray:
-    """How many values of the sketches fall in each of BUCKETS buckets. Tasks count densely and are summed slice by slice, so what
-    the driver gets is as long for every input."""
+def _rarity(given: DataFrame) -> np.ndarray:
+    """How many of the members (binary) fall in each of BUCKETS buckets. Tasks count densely and are summed slice by slice, so what the
+    driver gets is as long for every input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            total += np.bincount(_bucket(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64)), minlength=BUCKETS)
+            total += np.bincount(_bucket(np.frombuffer(b"".join(batch.column("members").to_pylist()), np.uint64)), minlength=BUCKETS)
         if total.any():
             slices = total.reshape(SLICES, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in slices], pa.binary())], names=["slice", "counts"])
@@ -387,33 +314,44 @@ def _rarity(sketches: DataFrame) -> np.ndarray:
 
     schema = "slice int, counts binary"
     out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for row in sketches.select("sketch").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect():  # SLICES rows
+    for row in given.select("members").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect():  # SLICES rows
         out[row["slice"]] = np.frombuffer(row["counts"], np.int64)
     return out.reshape(-1)
 
 
-def _prefixes(ws: Workspace, nodes: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(key, node, comp, n, hub): the rarest values of each sketch, as many as any pair that passes the estimate shares one of.
+def _rare(ws: Workspace, given: DataFrame) -> DataFrame:
+    """(key, node, at, weight): the rarest ``take`` members of each row (node, take, members) and their places in it.
 
-    Any order that holds for all sketches serves; this one is by the values in a value's bucket, then by the value.
+    Any order that holds for all rows serves; this one is by the members in a member's bucket, then by the member. Members alone in their
+    bucket come first and need no row.
     """
-    given = ws.stage(nodes.join(classes.select("node", "sketch"), "node").select("node", "comp", "n", "hub", "sketch"))
     often = _rarity(given)
-    least = -(-int(THRESHOLD_PERCENT - 100 * MARGIN) * k // 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = [np.zeros(0, np.uint64)], []
-            for sketch, n in zip(batch.column("sketch").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                values = np.frombuffer(sketch, np.uint64)
+            keys, places, counts, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
+            for raw, take in zip(batch.column("members").to_pylist(), batch.column("take").to_pylist(), strict=True):
+                values = np.frombuffer(raw, np.uint64)
                 of = often[_bucket(values)]
-                first = np.lexsort((values, of))[: max(0, len(values) - min(-(-n * THRESHOLD_PERCENT // 100), least) + 1)]
-                keys.append(values[first[of[first] > 1]])
-                counts.append(len(keys[-1]))
-            at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "comp", "n", "hub"))], names=["key", "node", "comp", "n", "hub"])
+                first = np.lexsort((values, of))[:take]
+                shared = np.flatnonzero(of[first] > 1)
+                keys.append(values[first[shared]])
+                places.append(shared)
+                counts.append(len(shared))
+                weights.append(int(of.sum()))
+            at = np.repeat(np.arange(len(counts)), counts)
+            cols = [np.concatenate(keys).view(np.int64), batch.column("node").to_numpy()[at], np.concatenate(places), np.array(weights, np.int64)[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "node", "at", "weight"])
+
+    return ws.stage(given.select("node", "take", "members").mapInArrow(run, "key long, node long, at long, weight long"))
+
 
-    return given.mapInArrow(run, "key long, node long, comp long, n long, hub long")
+def _whole_lists(ws: Workspace, nodes: DataFrame, sets: _Sets) -> DataFrame:
+    """(key, node, n, at, weight) of the rarest members of full sets, as many as any link shares one of."""
+    nodes = nodes.join(sets.classes.select("node", "n"), "node")
+    take = F.col("n") - F.ceil(F.col("n") * THRESHOLD_PERCENT / 100) + 1
+    given = ws.stage(sets.of(nodes.select("node")).withColumnRenamed("shingles", "members").join(nodes.withColumn("take", take), "node"))
+    return _rare(ws, given.select("node", "take", "members")).join(given.select("node", "n"), "node")
 
 
 def differences(of: np.ndarray, hub: np.ndarray) -> np.ndarray:
@@ -422,62 +360,127 @@ def differences(of: np.ndarray, hub: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([mix64(more), mix64(less ^ np.uint64(0xA5A5A5A5A5A5A5A5))]))
 
 
-def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, sets: _Sets) -> DataFrame:
-    """(a, b): classes of a family, but different components, that differ from its hub in the same way.
+def parities(values: np.ndarray) -> np.ndarray:
+    """PARITY_WORDS words of 64 bits, each bit the parity of the count of values that fall on it.
 
-    Similar classes have 9 |x ^ y| <= |x| + |y|, and x ^ y is Dx ^ Dy, where Dx and Dy are their differences. So pairs whose
-    numbers of differences, or whose parities, are further apart than that are left out, and no link is among them.
+    The parities of two sets differ in no more bits than the sets in members.
+    """
+    odd = np.bincount((values % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-    Nor is every shared difference a key. As |x ^ y| <= |x| / 4 and |y| / 4, and a link of two components shares a difference,
-    x of |Dx| >= |Dy| shares at least max(1, |Dx| - |x| / 4) of its own, so one of its first |x| / 4 + 1 in any order that holds
-    for all, and y at least |Dy| - |y| / 8, so that one is also among y's first |y| / 8 + 1. The order is by frequency in the family.
+
+def _family_pairs(ws: Workspace, family: DataFrame, comps: DataFrame | None, sets: _Sets) -> DataFrame:
+    """(a, b): classes of a family (node, hub), but different components, that differ from its hub in the same way. All sets are known.
+
+    A link has 9 |x ^ y| <= n + m, and x ^ y is Dx ^ Dy, where Dx and Dy are the differences from the hub. If these have nothing in common
+    then |Dx| + |Dy| <= (n + m) / 9, so both x and y are linked with the hub, and of one component. So a link shares a difference.
+    Before the first that it shares, at the places i and j of an order that holds for all, stand at least i + j members of Dx ^ Dy,
+    and what follows holds at most min(|Dx| - i, |Dy| - j) shared ones; so i <= n / 4, and in the smaller of Dx and Dy j <= m / 8.
+    Pairs whose parities differ in more bits than a link may in members are left out too.
     """
-    if comps is None:
-        return ws.spark.createDataFrame([], "a long, b long")
-    members = ws.stage(family.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    several = members.groupBy("hub").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("hub")
-    members = ws.stage(members.join(ws.stage(several), "hub"))
-    known = sets.of(members.select(F.explode(F.array("node", "hub")).alias("node")).distinct())
+    members, known = _open_families(ws, family, comps), sets.known
     own = known.select("node", F.col("shingles").alias("mine"))
     central = known.select(F.col("node").alias("hub"), F.col("shingles").alias("central"))
 
     def diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, signs, sizes = [], [], []
+            found, signs, n, d = [], [], [], []
             for a, b, h in zip(*(batch.column(c).to_pylist() for c in ("mine", "central", "hub")), strict=True):
-                d = mix64(differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) + np.uint64(h))
-                found.append(d.tobytes())
-                signs.append(parities(d))
-                sizes.append((len(a) // 8, len(d)))
-            n, size = zip(*sizes, strict=True) if sizes else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("comp"), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(found, pa.binary())],
-                names=["node", "comp", "n", "d", "signs", "diffs"],
-            )
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [np.frombuffer(x, np.uint64) for x in batch.column("diffs").to_pylist()]
-            if each:
-                at = pa.array(np.repeat(np.arange(len(each)), [len(d) for d in each]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(each).view(np.int64)), *(batch.column(c).take(at) for c in ("node", "comp", "n", "d"))],
-                    names=["key", "node", "comp", "n", "d"],
-                )
-
-    made = ws.stage(members.join(own, "node").join(central, "hub").mapInArrow(diffs, "node long, comp long, n long, d long, signs array<bigint>, diffs binary"))
-    rows = ws.stage(made.select("node", "comp", "n", "d", "diffs").mapInArrow(spread, "key long, node long, comp long, n long, d long"))
-    counted = ws.stage(rows.groupBy("key").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "rows"))
-    backward = Window.partitionBy("node").orderBy(F.desc("rows"), F.desc("key"))  # keys of one component come first in the order, so rank from the end
-    each = rows.join(counted, "key").withColumn("at", F.col("d") - F.row_number().over(backward))
-    each = each.where(F.col("at") <= F.floor(F.col("n") / 4)).select("key", "node", (F.col("at") <= F.floor(F.col("n") / 8)).alias("early"))
-    each = ws.stage(each.join(made.drop("diffs"), "node"))
-    right = each.where("early").select("key", *[F.col(c).alias(f"r_{c}") for c in made.drop("diffs").columns])
-    most = F.col("n") + F.col("r_n")
-    larger = (F.col("d") > F.col("r_d")) | ((F.col("d") == F.col("r_d")) & (F.col("node") < F.col("r_node")))
-    apart = larger & (F.col("comp") != F.col("r_comp")) & _similar_size("n", "r_n")
-    apart = apart & (9 * F.abs(F.col("d") - F.col("r_d")) <= most) & (9 * _unlike_bits("signs", "r_signs") <= most)
-    return each.join(right, "key").where(apart).select(F.col("node").alias("a"), F.col("r_node").alias("b"))
+                values = mix64(differences(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) + np.uint64(h))
+                found.append(values.tobytes())
+                signs.append(parities(values))
+                n.append(len(a) // 8)
+                d.append(len(values))
+            cols = [pa.array(n, pa.int64()), pa.array(d, pa.int64()), pa.array(signs, pa.list_(pa.int64())), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), *cols], names=["node", "comp", "n", "d", "signs", "members"])
+
+    made = ws.stage(members.join(own, "node").join(central, "hub").mapInArrow(diffs, "node long, comp long, n long, d long, signs array<bigint>, members binary"))
+    rows = _rare(ws, made.withColumn("take", (F.floor(F.col("n") / 4) + 1).cast("long"))).drop("weight").join(made.drop("members"), "node")
+    rows = _shared(ws, rows)
+    right = rows.where(8 * F.col("at") <= F.col("n")).select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("d").alias("r_d"), F.col("at").alias("r_at"), F.col("signs").alias("r_signs"))
+    larger = (F.col("d") > F.col("r_d")) | ((F.col("d") == F.col("r_d")) & (F.col("node") < F.col("b")))
+    apart = F.col("d") + F.col("r_d") - 2 * F.least(F.col("d") - F.col("at"), F.col("r_d") - F.col("r_at"))
+    unlike = sum((F.bit_count(F.col("signs")[i].bitwiseXOR(F.col("r_signs")[i])) for i in range(PARITY_WORDS)), F.lit(0))
+    near = (9 * apart <= F.col("n") + F.col("m")) & (9 * unlike <= F.col("n") + F.col("m"))
+    return rows.join(right, "key").where(larger & (F.col("comp") != F.col("c")) & _similar_size() & near).select(F.col("node").alias("a"), "b")
+
+
+def _open_families(ws: Workspace, family: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(node, hub, comp) of families that hold more than one component."""
+    if comps is None:
+        members = family.withColumn("comp", F.col("node"))
+    else:
+        members = family.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    several = members.groupBy("hub").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("hub")
+    return ws.stage(members.join(several, "hub"))
+
+
+def _shared(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one component."""
+    several = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
+    return ws.stage(rows.join(several, "key"))
+
+
+def _foreign_pairs(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """(a, b): classes of a list of full sets, but different components and families (hub).
+
+    The rows of a list's largest family are joined with the list's other rows only, never with each other.
+    """
+    filled = rows.where("hub is not null").groupBy("key", "hub").agg(F.count("*").alias("fill"))
+    main = filled.groupBy("key").agg(F.max(F.struct("fill", "hub")).alias("f")).select("key", F.col("f.hub").alias("main_hub"))
+    rows = rows.join(main, "key", "left").withColumn("main", F.coalesce(F.col("hub") == F.col("main_hub"), F.lit(False)))
+    rows = ws.stage(rows.select("key", "node", "comp", "n", "at", "hub", "main"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("c"), F.col("n").alias("m"), F.col("at").alias("r_at"), F.col("hub").alias("h"), F.col("main").alias("r_main"))
+    apart = (F.col("r_main") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("c")) & ~F.coalesce(F.col("hub") == F.col("h"), F.lit(False))
+    return rows.where("not main").join(right, "key").where(apart & _similar_size() & _fits()).select(F.col("node").alias("a"), "b")
+
+
+def near_links(ws: Workspace, docs: DataFrame, classes: DataFrame, width: int, k: int = SKETCH) -> DataFrame | None:
+    """(node, comp) of the classes that are linked with another; None if there are none."""
+    sets, comps, tried = _Sets(ws, docs, classes, width), None, None
+
+    def compare(found: DataFrame, estimate: bool) -> None:
+        nonlocal comps, tried
+        pairs = ws.stage(_ordered(found, tried))
+        if pairs.isEmpty():
+            return
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        judged = ws.stage(_judge(pairs, classes, k)) if estimate else pairs.withColumn("sure", F.lit(False))
+        comps = _grown(ws, comps, _verify(ws, judged, sets, read=estimate))
+
+    rows = _open(ws, _lists(ws, classes, k), None)
+    if rows.isEmpty():
+        return None
+    compare(_hub_pairs(ws, rows, None)[0], estimate=True)
+    rows = _open(ws, rows, comps)
+    compare(_list_pairs(rows.where(F.col("rows") <= HOT), F.col("n") <= k), estimate=True)
+    hot = _open(ws, rows.where(F.col("rows") > HOT), comps)
+    if hot.isEmpty():
+        return comps
+    rows, hubs = _whole_lists(ws, ws.stage(hot.select("node").distinct()), sets), None
+    for _ in range(HUB_ROUNDS):
+        rows = _open(ws, rows, comps)
+        if (large := rows.where(F.col("rows") > HOT)).isEmpty():
+            break
+        found, hubs = _hub_pairs(ws, large, hubs)
+        compare(found, estimate=False)
+    if hubs is None:
+        family = ws.spark.createDataFrame([], "node long, hub long")
+    else:
+        family = _families(ws, hubs)
+        compare(family.select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b"), estimate=False)
+        compare(_family_pairs(ws, family, comps, sets), estimate=False)
+    compare(_foreign_pairs(ws, _open(ws, rows, comps).join(family, "node", "left")), estimate=False)
+    return comps
+
+
+def _families(ws: Workspace, hubs: DataFrame) -> DataFrame:
+    """(node, hub): of the hubs of each class the heaviest, or that hub's own, twice; so that a group of many hubs is one family."""
+    family = ws.stage(hubs.groupBy("node").agg(F.max(F.struct("weight", "hub")).alias("h")).select("node", F.col("h.hub").alias("hub")))
+    for _ in range(2):
+        up = family.select(F.col("node").alias("hub"), F.col("hub").alias("up"))
+        family = ws.stage(family.join(up, "hub", "left").select("node", F.coalesce("up", "hub").alias("hub")))
+    return family
 
 
 def _named(ws: Workspace, docs: DataFrame, width: int, k: int) -> tuple[DataFrame, DataFrame]:

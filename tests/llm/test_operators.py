@@ -225,9 +225,9 @@ def test_near_duplicates_of_chains_and_small_sets(spark, monkeypatch):
     texts += [" ".join(s if rng.random() < 0.5 else [*s, rng.choice("xyz")]) for s in small]
     rows = [(i, t) for i, t in enumerate(texts)]
     given = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot, stars in ((100, 3), (1, 0)):  # the second: all work falls to the refined pairs
+    for hot, hubs in ((100, 2), (1, 0), (1, 2)):  # the last two: all work falls to lists of full sets
         monkeypatch.setattr(near_dedup, "HOT", hot)
-        monkeypatch.setattr(near_dedup, "STAR_ROUNDS", stars)
+        monkeypatch.setattr(near_dedup, "HUB_ROUNDS", hubs)
         assert got(near_dedup.near_duplicates(spark, given, 2)) == brute_near(rows, 2)
 
 
@@ -243,7 +243,8 @@ def family_of(spark, ws, sets):
 def family_links(spark, sets):
     """(links among a family's candidate pairs, its links by brute force)."""
     with common.Workspace(spark, "test") as ws:
-        _, family, comps, full = family_of(spark, ws, sets)
+        classes, family, comps, full = family_of(spark, ws, sets)
+        full.of(classes.select("node"))
         pairs = near_dedup._ordered(near_dedup._family_pairs(ws, family, comps, full), None).collect()
     alike = lambda a, b: len(a & b) * 100 >= 80 * len(a | b)
     sets = [set(x) for x in sets]
@@ -273,21 +274,50 @@ def test_family_pairs_lose_no_link(spark, n, cut, own):
     assert len(want) == 4 and links == want
 
 
-@pytest.mark.parametrize("hot", [2, 1000])
-def test_list_pairs_across_families(spark, hot, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HOT", hot)
+def test_foreign_pairs_lose_no_link(spark):
     words = [f"w{i}" for i in range(60)]
-    sets = [words, *([*words[:55], *(f"v{i}x{k}" for k in range(5))] for i in range(12))]
+    sets = [words, *([*words[:58], *(f"v{i}x{k}" for k in range(2))] for i in range(12))]
     hubs = [None, 20, 20, 20, 20, 20, 20, 21, 21, 21, None, None, None]
     with common.Workspace(spark, "test") as ws:
-        classes = family_of(spark, ws, sets)[0]
-        listed = spark.createDataFrame([(key, i, h) for key in (1, 2) for i, h in enumerate(hubs)], "key long, node long, hub long")
-        listed = listed.join(classes.select("node", "n"), "node").withColumn("comp", F.col("node")).withColumn("rows", F.lit(13).cast("long"))
-        pairs = near_dedup._ordered(near_dedup._list_pairs(ws, listed, classes, 64), None).collect()
+        listed = [(key, i, i, 60, key - 1, h) for key in (1, 2) for i, h in enumerate(hubs)]
+        listed = spark.createDataFrame(listed, "key long, node long, comp long, n long, at long, hub long")
+        pairs = near_dedup._ordered(near_dedup._foreign_pairs(ws, listed), None).collect()
     want = {(i, j) for j in range(13) for i in range(j) if hubs[i] is None or hubs[i] != hubs[j]}
     assert {(r.x, r.y) for r in pairs} == want
 
 
+@pytest.mark.parametrize("n, cut, own", [(60, 7, 2), (1500, 200, 60)])
+def test_near_duplicates_of_variants(spark, n, cut, own, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 3)  # the group's lists are large ones
+    sets = [x for g in range(2) for x in variants(random.Random(n + g), n, cut, own, 6)[g:]]  # two groups, one with its hub
+    rows = [(i, " ".join(x)) for i, x in enumerate(sets)]
+    got_ = got(near_dedup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 1))
+    assert got_ == brute_near(rows, 1) and len({r[2] for r in got_}) < len(rows)
+
+
+@pytest.mark.parametrize("hub", [True, False])
+def test_candidates_of_a_large_group_stay_few(spark, hub, monkeypatch):
+    rng, n, m = random.Random(5), 150, 2000
+    core = [f"c{i}" for i in range(n)]
+    rows = [(0, " ".join(core))] if hub else []
+    for i in range(1, m):  # similar to each other at about 0.7; those of 19 changes are not linked with the core either
+        words, at = list(core), rng.sample(range(n), 13 if i % 2 else 19)
+        for j in at:
+            words[j] = f"o{i}x{j}"
+        rows.append((i, " ".join(words)))
+    judged, verify = [], near_dedup._verify
+
+    def counted(ws, pairs, *more, **options):
+        judged.append(pairs.count())
+        return verify(ws, pairs, *more, **options)
+
+    monkeypatch.setattr(near_dedup, "_verify", counted)
+    given = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    component = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, given, 1).collect()}
+    assert component == {i: 0 if hub and i % 2 else i for i, _ in rows}  # 137 of 163 are common with the core, or 131 of 169
+    assert sum(judged) < 20 * m  # of 2 million pairs
+
+
 def test_drop_near_duplicates_with_null_and_repeated_ids(spark, rows):
     given = [(None if i % 3 == 0 else i % 25 if i % 3 == 1 else x[0], *x[1:]) for i, x in enumerate(rows)]
     assert len({x[0] for x in given}) < len(given) / 2
@@ -302,8 +332,7 @@ def test_drop_near_duplicates_with_null_and_repeated_ids(spark, rows):
     assert max(Counter(c for r in out if (c := of[r.text]) is not None).values()) == 1
 
 
-def test_family_pairs_share_hot_differences_only(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HOT_DIFFERENCE", 2, raising=False)
+def test_family_pairs_share_hot_differences_only(spark):
     rng = random.Random(9)
     hub, sets = [f"h{i}" for i in range(70)], []
     for _ in range(150):  # few places of change, so nearly every difference is shared by many
