@@ -2,9 +2,10 @@
 
 Every document gets a few whole-number measures. A sketch of a measure is a table of (bucket, count) with
 buckets that are exact below 64 and within 1/32 above (a histogram with logarithmic buckets), so sketches merge
-by adding counts, in any order, with the same result. A document fails if a measure lies above its group's fence
-q75 + 3 * (q75 - q50) + slack. Groups with fewer than ``min_docs`` documents use the merged sketch of their
-language, and those with too small a language the merged sketch of all.
+by adding counts, in any order, with the same result. A document fails if a measure lies above its group's fence:
+q75 + SPREADS * (q75 - q50) of the group, or a share of q99 of the merged sketch of its language, whichever is larger, as
+many groups have no spread at all. Groups with fewer than ``min_docs`` documents use the merged sketch of their
+language in place of their own, and languages with too few the merged sketch of all.
 
 Defined results: a null or empty text has no words and fails the base rules; null language or source is a group
 of its own; equal rows each get a row; an empty table gives an empty result; other columns are carried only by
@@ -28,14 +29,18 @@ CAPS = bytes(range(65, 91))
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 50
-#: Measure: (numerator, denominator, factor, slack above the group's own spread).
+#: How many times the distance from median to upper quartile a measure may lie above the latter.
+SPREADS = 6
+#: One in a hundred, in the measures' units, is added to every fence, for groups and languages in which nearly all have none.
+TOLERANCE = 10
+#: Measure: (numerator, denominator, factor, percent of the language's q99 that is always allowed). The share is small where q99 lies in the junk.
 MEASURES = {
-    "m_symbols": ("n_symbols", "n_words", 1000, 150),
-    "m_word_chars": ("word_chars", "n_words", 100, 100),
-    "m_dup_lines": ("n_dup_lines", "n_lines", 1000, 150),
-    "m_repeat": ("n_repeat_words", "n_words", 1000, 150),
-    "m_caps": ("n_caps", "word_chars", 1000, 150),
-    "m_bangs": ("n_bangs", "n_words", 1000, 150),
+    "m_symbols": ("n_symbols", "n_words", 1000, 10),
+    "m_word_chars": ("word_chars", "n_words", 100, 80),
+    "m_dup_lines": ("n_dup_lines", "n_lines", 1000, 200),
+    "m_repeat": ("n_repeat_words", "n_words", 1000, 250),
+    "m_caps": ("n_caps", "word_chars", 1000, 300),
+    "m_bangs": ("n_bangs", "n_words", 1000, 200),
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_bangs")
 
@@ -112,21 +117,23 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
         w = Window.partitionBy(*keys, "measure")
         cum = merged.withColumn("cum", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-        q = cum.groupBy(*keys, "measure", "total").agg(
-            bucket_top(F.min(F.when(F.col("cum") * 2 >= F.col("total"), F.col("bucket")))).alias("q50"),
-            bucket_top(F.min(F.when(F.col("cum") * 4 >= F.col("total") * 3, F.col("bucket")))).alias("q75"),
-        )
-        fence = F.col("q75") + 3 * (F.col("q75") - F.col("q50"))
-        slack = F.create_map(*[x for m, how in MEASURES.items() for x in (F.lit(m), F.lit(how[3]))])
-        one = q.groupBy(*keys).agg(F.max("total").alias(f"n_{level}"), F.map_from_entries(F.collect_list(F.struct("measure", (fence + slack[F.col("measure")]).alias("fence")))).alias(f"f_{level}"))
-        levels.append(one)
+        at = lambda percent: bucket_top(F.min(F.when(F.col("cum") * 100 >= F.col("total") * percent, F.col("bucket"))))
+        q = cum.groupBy(*keys, "measure", "total").agg(at(50).alias("q50"), at(75).alias("q75"), at(99).alias("q99"))
+        share = F.create_map(*[x for m, how in MEASURES.items() for x in (F.lit(m), F.lit(how[3]))])[F.col("measure")]
+        spread, floor = F.col("q75") + SPREADS * (F.col("q75") - F.col("q50")), F.floor(share * F.col("q99") / 100)
+        maps = [F.map_from_entries(F.collect_list(F.struct("measure", x.alias("v")))).alias(f"{name}_{level}") for name, x in (("spread", spread), ("floor", floor))]  # of six
+        levels.append(q.groupBy(*keys).agg(F.max("total").alias(f"n_{level}"), *maps))
     own, lang, whole = levels
     lang = lang.withColumnRenamed("lang", "__lang")
-    row = whole.first()  # one row of six numbers
-    every = F.create_map(*[x for m, fence in sorted((row["f_all"] or {}).items()) for x in (F.lit(m), F.lit(fence).cast("long"))]) if row else F.lit(None)
-    out = own.join(lang, own["lang"].eqNullSafe(lang["__lang"])).withColumn("f_all", every.cast("map<string,bigint>"))
-    chosen = F.when(F.col("n_own") >= min_docs, F.col("f_own")).when(F.col("n_language") >= min_docs, F.col("f_language")).otherwise(F.col("f_all"))
-    return out.select("lang", "source", chosen.alias("__fences"))
+    row = whole.first()  # one row of twelve numbers
+    out = own.join(lang, own["lang"].eqNullSafe(lang["__lang"]))
+    for name in ("spread", "floor"):
+        every = F.create_map(*[x for m, v in sorted(row[f"{name}_all"].items()) for x in (F.lit(m), F.lit(v).cast("long"))]) if row else F.lit(None)
+        out = out.withColumn(f"{name}_all", every.cast("map<string,bigint>"))
+    large = F.col("n_language") >= min_docs
+    spread = F.when(F.col("n_own") >= min_docs, F.col("spread_own")).when(large, F.col("spread_language")).otherwise(F.col("spread_all"))
+    floor = F.when(large, F.col("floor_language")).otherwise(F.col("floor_all"))
+    return out.select("lang", "source", F.map_zip_with(spread, floor, lambda _, a, b: F.greatest(a, b) + TOLERANCE).alias("__fences"))
 
 
 def base_failed():
@@ -135,7 +142,7 @@ def base_failed():
 
 
 def _verdict():
-    ok = ~F.col("base_failed")
+    ok = ~base_failed()
     for m, how in MEASURES.items():
         ok = ok & (_measure(*how[:3]) <= F.col("__fences")[m])
     return ok
@@ -145,9 +152,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS
     """doc_id, the counts, base_failed and kept, a row per document."""
     with Workspace(spark, "rules") as ws:
         stats = ws.stage(document_stats(docs, ["doc_id", "lang", "source"]))
-        limits = ws.stage(fences(sketches(stats), min_docs))
-        judged = small_join(stats.withColumn("base_failed", base_failed()), limits, ["lang", "source"])
-        return ws.keep(judged.select("doc_id", *[F.col(f"__q_{n}").alias(n) for n in COUNTS[:5]], "base_failed", _verdict().alias("kept")))
+        limits = ws.stage(fences(ws.stage(sketches(stats)), min_docs))
+        judged = small_join(stats, limits, ["lang", "source"])
+        return ws.keep(judged.select("doc_id", *[F.col(f"__q_{n}").alias(n) for n in COUNTS[:5]], base_failed().alias("base_failed"), _verdict().alias("kept")))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -156,6 +163,6 @@ def filter_quality(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOC
     Texts are read twice (for the sketches, then for the verdicts) and never shuffled.
     """
     with Workspace(spark, "rules") as ws:
-        limits = ws.keep(fences(sketches(document_stats(docs, ["lang", "source"])), min_docs))
-    stats = document_stats(docs, docs.columns).withColumn("base_failed", base_failed())
+        limits = ws.keep(fences(ws.stage(sketches(document_stats(docs, ["lang", "source"]))), min_docs))
+    stats = document_stats(docs, docs.columns)
     return small_join(stats, limits, ["lang", "source"]).where(_verdict()).select(*docs.columns)

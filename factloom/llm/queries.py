@@ -14,7 +14,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import find_pii
 from .quality_classifier import quality_classifier
-from .quality_rules import MAX_REPEAT_PERCENT, MEASURES, MIN_DOCS, MIN_WORDS, quality_rules
+from .quality_rules import MAX_REPEAT_PERCENT, MEASURES, MIN_DOCS, MIN_WORDS, SPREADS, TOLERANCE, quality_rules
 from .repeats import repeats_report
 from .token_files import token_report
 from .warc import archive_report
@@ -79,7 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _quality_rules_sql() -> str:
     measures = ", ".join(f"CASE WHEN {den} > 0 THEN {factor} * {num} // {den} ELSE 0 END AS {m}" for m, (num, den, factor, _) in MEASURES.items())
-    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v, {how[3]} AS slack FROM measured" for m, how in MEASURES.items())
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v, {how[3]} AS share FROM measured" for m, how in MEASURES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1) AS i FROM d),
@@ -98,17 +98,19 @@ measured AS (SELECT *, {measures} FROM counts),
 long AS ({each}),
 bucketed AS (SELECT *, CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)::INTEGER) END AS b FROM long),
 sketch AS (
-  SELECT 'own' AS level, lang, source, measure, slack, b, count(*) AS n FROM bucketed GROUP BY lang, source, measure, slack, b
-  UNION ALL SELECT 'language', lang, NULL, measure, slack, b, count(*) FROM bucketed GROUP BY lang, measure, slack, b
-  UNION ALL SELECT 'all', NULL, NULL, measure, slack, b, count(*) FROM bucketed GROUP BY measure, slack, b),
+  SELECT 'own' AS level, lang, source, measure, share, b, count(*) AS n FROM bucketed GROUP BY lang, source, measure, share, b
+  UNION ALL SELECT 'language', lang, NULL, measure, share, b, count(*) FROM bucketed GROUP BY lang, measure, share, b
+  UNION ALL SELECT 'all', NULL, NULL, measure, share, b, count(*) FROM bucketed GROUP BY measure, share, b),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS cum, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sketch),
-q AS (SELECT level, lang, source, measure, slack, total, min(CASE WHEN cum * 2 >= total THEN b END) AS b50, min(CASE WHEN cum * 4 >= total * 3 THEN b END) AS b75
-  FROM cum GROUP BY level, lang, source, measure, slack, total),
+q AS (SELECT level, lang, source, measure, slack, total, min(CASE WHEN cum * 2 >= total THEN b END) AS b50, min(CASE WHEN cum * 4 >= total * 3 THEN b END) AS b75,
+  min(CASE WHEN cum * 100 >= total * 99 THEN b END) AS b99 FROM cum GROUP BY level, lang, source, measure, share, total),
 top AS (SELECT *, CASE WHEN b50 < 64 THEN b50 ELSE (((b50 - 32) % 32 + 33) << ((b50 - 32) // 32)::INTEGER) - 1 END AS q50,
-  CASE WHEN b75 < 64 THEN b75 ELSE (((b75 - 32) % 32 + 33) << ((b75 - 32) // 32)::INTEGER) - 1 END AS q75 FROM q),
-fences AS (SELECT *, q75 + 3 * (q75 - q50) + slack AS fence FROM top),
+  CASE WHEN b75 < 64 THEN b75 ELSE (((b75 - 32) % 32 + 33) << ((b75 - 32) // 32)::INTEGER) - 1 END AS q75,
+  CASE WHEN b99 < 64 THEN b99 ELSE (((b99 - 32) % 32 + 33) << ((b99 - 32) // 32)::INTEGER) - 1 END AS q99 FROM q),
+fences AS (SELECT *, q75 + {SPREADS} * (q75 - q50) AS spread, share * q99 // 100 AS low FROM top),
 chosen AS (
-  SELECT o.lang, o.source, o.measure, CASE WHEN o.total >= {MIN_DOCS} THEN o.fence WHEN l.total >= {MIN_DOCS} THEN l.fence ELSE a.fence END AS fence
+  SELECT o.lang, o.source, o.measure, {TOLERANCE} + greatest(CASE WHEN o.total >= {MIN_DOCS} THEN o.spread WHEN l.total >= {MIN_DOCS} THEN l.spread ELSE a.spread END,
+    CASE WHEN l.total >= {MIN_DOCS} THEN l.low ELSE a.low END) AS fence
   FROM fences o JOIN fences l ON o.level = 'own' AND l.level = 'language' AND o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure
   JOIN fences a ON a.level = 'all' AND a.measure = o.measure),
 ok AS (SELECT m.r, bool_and(CASE f.measure {" ".join(f"WHEN '{m}' THEN m.{m} <= f.fence" for m in MEASURES)} END) AS within

@@ -88,18 +88,20 @@ def brute_rules(rows, min_docs):
     for r in rows:
         c = dict(zip(quality_rules.COUNTS, counts(r[1]), strict=True))
         measured.append((r[2], r[3], c, {m: h[2] * c[h[0]] // c[h[1]] if c[h[1]] else 0 for m, h in quality_rules.MEASURES.items()}))
-    def fence(values, slack):
-        buckets = sorted(map(bucket, values))
-        q50, q75 = (top(buckets[-(-len(buckets) * q // 100) - 1]) for q in (50, 75))
-        return q75 + 3 * (q75 - q50) + slack
+    def quantile(group, m, percent):
+        buckets = sorted(bucket(x[3][m]) for x in group)
+        return top(buckets[-(-len(buckets) * percent // 100) - 1])
+    def fence(m, own, lang):
+        q50, q75 = (quantile(own, m, q) for q in (50, 75))
+        return 10 + max(q75 + 6 * (q75 - q50), quality_rules.MEASURES[m][3] * quantile(lang, m, 99) // 100)
     out = []
     for r, (lang, source, c, v) in zip(rows, measured, strict=True):
         failed = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
         ok = not failed
-        for group in ([x for x in measured if x[:2] == (lang, source)], [x for x in measured if x[0] == lang], measured):
-            if len(group) >= min_docs or group is measured:
-                ok = ok and all(v[m] <= fence([x[3][m] for x in group], h[3]) for m, h in quality_rules.MEASURES.items())
-                break
+        own, wide = [x for x in measured if x[:2] == (lang, source)], [x for x in measured if x[0] == lang]
+        wide = wide if len(wide) >= min_docs else measured
+        own = own if len(own) >= min_docs else wide
+        ok = ok and all(v[m] <= fence(m, own, wide) for m in quality_rules.MEASURES)
         out.append((r[0], *list(c.values())[:5], failed, ok))
     return sorted(out, key=repr)
 
@@ -109,6 +111,9 @@ def test_quality_rules(spark, docs, rows, none, min_docs, monkeypatch):
     assert got(quality_rules.quality_rules(spark, docs, min_docs)) == brute_rules(rows, min_docs)
     if min_docs == 30:
         kept = [x[0] for x in brute_rules(rows, min_docs) if x[-1]]
+        named = docs.withColumn("base_failed", F.lit("mine"))
+        out = quality_rules.filter_quality(spark, named, min_docs)
+        assert out.columns == named.columns and {r.base_failed for r in out.collect()} == {"mine"}
         out = quality_rules.filter_quality(spark, docs, min_docs)
         assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(kept)
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # the salted join
