@@ -3,7 +3,8 @@
 Every source is a stream of its documents' words in an order that only depends on the documents. The stream is cut
 into blocks of ``block`` words. Slots of the mix are dealt to output shards of ``shard_slots`` slots: the source
 counts of a shard are a multinomial draw with the sources' remaining slots as weights, cut off at what remains, so
-that the shards together take each source's target exactly. The j-th slot of a source maps to block
+that the shards together take each source's target exactly. One task deals slots to groups of SHARD_GROUP shards in this way, then each
+group to its shards in a task of its own. The j-th slot of a source maps to block
 perm(j div blocks, j mod blocks), a keyed Feistel permutation of its block indices per round, so a block is used at
 most once more than any other. Slots and blocks are joined by (source, block index); the source's last slot takes
 only the words that are still missing.
@@ -28,6 +29,8 @@ from .common import Workspace, binaries, table
 
 BLOCK = 512
 SHARD_SLOTS = 4096
+#: Shards that are dealt from one group; a group's draws are sequential.
+SHARD_GROUP = 4096
 MAX_REPEATS = 3
 SEED = 20
 #: Documents of a source that one window of the word order holds, about.
@@ -81,26 +84,29 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, __size, and __row, which tells rows of equal doc_id, source and size apart only by number."""
-    given = docs.select("doc_id", "source", F.col("text").cast("binary").alias("__text"))
+    """doc_id, source, __hash (of the text) and __size (its words), a row per document."""
+    given = docs.select("doc_id", "source", F.xxhash64("text").alias("__hash"), F.col("text").cast("binary").alias("__text"))
     return given.mapInArrow(_count_words, given.drop("__text").schema.add("__size", "long"))
 
 
 def word_order(rows: DataFrame, n_rows: int) -> DataFrame:
-    """rows with __start, the words of the same source before each.
+    """doc_id, source, __hash, __size and __start, the words of the same source before each.
 
-    The order is by (hash bucket of doc_id, doc_id, size); buckets hold about ORDER_ROWS rows of the largest possible
-    source, so neither the sums over buckets nor a bucket's window grows into one large task.
+    Rows of equal doc_id, source and text are laid out together as one (__copies). The order of these is by (hash bucket, doc_id, hash);
+    buckets hold about ORDER_ROWS rows of the largest possible source, so neither the sums over buckets nor a bucket's window
+    grows into one large task, whatever is repeated or null.
     """
     buckets = max(64, -(-n_rows // ORDER_ROWS))
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    rows = rows.groupBy("doc_id", "source", "__hash", "__size").agg(F.count("*").alias("__copies"))
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "__hash"), F.lit(buckets)).cast("int")).withColumn("__all", F.col("__size") * F.col("__copies"))
     before = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "__bucket").agg(F.sum("__size").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    sums = rows.groupBy("source", "__bucket").agg(F.sum("__all").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     sums = sums.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__base")
-    inside = Window.partitionBy("source", "__bucket").orderBy("doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__in", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "__bucket").orderBy("doc_id", "__hash", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__in", F.coalesce(F.sum("__all").over(inside), F.lit(0)))
     joined = rows.join(sums, rows["source"].eqNullSafe(sums["__s"]) & (rows["__bucket"] == sums["__b"]))
-    return joined.withColumn("__start", F.col("__base") + F.col("__in")).drop("__s", "__b", "__base", "__in", "__bucket")
+    each = joined.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    return each.select("doc_id", "source", "__hash", "__size", "__copies", "__nth", (F.col("__base") + F.col("__in") + (F.col("__nth") - 1) * F.col("__size")).alias("__start"))
 
 
 def plan(rows: DataFrame, block: int) -> list[dict]:
@@ -158,31 +164,47 @@ def _place_of(value: int, n: int, k: int) -> int:
             return x
 
 
+def deal(left: np.ndarray, size: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Counts by source of one hand of ``size`` slots after the other, until none is left."""
+    left = left.copy()
+    while left.sum():
+        want, counts = min(size, int(left.sum())), np.zeros(len(left), np.int64)
+        while want:
+            open_ = left - counts
+            more = np.minimum(rng.multinomial(want, open_ / open_.sum()), open_)
+            counts += more
+            want -= int(more.sum())
+        yield counts
+        left -= counts
+
+
 def draw(spark: SparkSession, sources: list[dict], block: int, shard_slots: int, seed: int) -> DataFrame:
     """(shard, source id, first, n): the slots [first, first + n) of a source that a shard takes.
 
-    Shards are drawn one after the other in one small task: it handles one row per shard and source, which is one
-    for some 2 million words.
+    The first task handles a row per source for some 9 billion words, the tasks after it a row per source and shard.
     """
-    total = np.array([_slots_of(p, block, seed) for p in sources], np.int64)
+    total, names = np.array([_slots_of(p, block, seed) for p in sources], np.int64), ["shard", "id", "first", "n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hands(ids: np.ndarray, first: np.ndarray, n: np.ndarray, size: int, number: int, rng: np.random.Generator) -> Iterator[list[pa.Array]]:
+        for k, counts in enumerate(deal(n, size, rng)):
+            some = np.flatnonzero(counts)
+            yield [pa.array(np.full(len(some), number + k)), pa.array(ids[some]), pa.array(first[some]), pa.array(counts[some])]
+            first = first + counts
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _ in batches:
             pass
-        rng, left, shard = np.random.Generator(np.random.PCG64(seed)), total.copy(), 0
-        while left.sum():
-            want, counts = min(shard_slots, int(left.sum())), np.zeros(len(left), np.int64)
-            while want:
-                open_ = left - counts
-                more = np.minimum(rng.multinomial(want, open_ / open_.sum()), open_)
-                counts += more
-                want -= int(more.sum())
-            ids = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shard)), pa.array(ids), pa.array((total - left)[ids]), pa.array(counts[ids])], names=["shard", "id", "first", "n"])
-            left -= counts
-            shard += 1
-
-    return spark.range(1, numPartitions=1).mapInArrow(run, "shard long, id long, first long, n long")
+        for cols in hands(np.arange(len(total)), np.zeros(len(total), np.int64), total, SHARD_GROUP * shard_slots, 0, np.random.Generator(np.random.PCG64(seed))):
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    def shards(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        group, (ids, first, n) = table.column("shard")[0].as_py(), (table.column(c).to_numpy() for c in names[1:])
+        parts = [pa.table(cols, names=names) for cols in hands(ids, first, n, shard_slots, group * SHARD_GROUP, np.random.Generator(np.random.PCG64([seed, group])))]
+        return pa.concat_tables(parts)
+
+    schema = "shard long, id long, first long, n long"
+    return spark.range(1, numPartitions=1).mapInArrow(groups, schema).groupBy("shard").applyInArrow(shards, schema)
 
 
 def slots(drawn: DataFrame, sources: list[dict], block: int, seed: int) -> DataFrame:
@@ -215,8 +237,8 @@ def mix(spark: SparkSession, ws: Workspace, docs: DataFrame, block: int = BLOCK,
     """(rows, sources, uses): documents with their place in their source's word order; the plan; and per source id and
     block how many slots take it in full (``full``), which rounds do, and how many of its words one more slot takes (``part``)."""
     rows = ws.stage(sized(docs))
-    sources = plan(rows, block)
-    rows = word_order(rows, rows.count())
+    sources, n_rows = plan(rows, block), rows.count()
+    rows = word_order(rows, n_rows)
     if not sources:
         return rows, sources, None
     ids = spark.createDataFrame([(p["source"], p["id"]) for p in sources], "__source string, __id long")
@@ -248,12 +270,12 @@ def mix_report(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_s
         rows, sources, uses = mix(spark, ws, docs, block, shard_slots, seed)
         if not sources:
             return spark.createDataFrame([], docs.select("doc_id").schema.add("size", "long").add("source_size", "long").add("target", "double").add("taken", "long"))
-        taken = _joined(rows, uses, block).groupBy("__id", "doc_id", "__start").agg(F.sum((F.col("__hi") - F.col("__lo")) * F.size("full") + _part_words()).alias("taken"))
-        taken = taken.select(F.col("__id").alias("i"), F.col("doc_id").alias("d"), F.col("__start").alias("s"), "taken")
+        taken = _joined(rows, uses, block).groupBy("__id", "__start").agg(F.sum((F.col("__hi") - F.col("__lo")) * F.size("full") + _part_words()).alias("taken"))
+        taken = taken.select(F.col("__id").alias("i"), F.col("__start").alias("s"), "taken")
         facts = spark.createDataFrame([(p["id"], p["size"], p["target"]) for p in sources], "f long, source_size long, target double")
         if len(sources) <= 20_000:
             facts = F.broadcast(facts)
-        out = rows.join(taken, (rows["__id"] == taken["i"]) & rows["doc_id"].eqNullSafe(taken["d"]) & (rows["__start"] == taken["s"]) & (rows["__size"] > 0), "left")
+        out = rows.join(taken, (rows["__id"] == taken["i"]) & (rows["__start"] == taken["s"]) & (rows["__size"] > 0), "left")
         out = out.join(facts, out["__id"] == facts["f"])
         return ws.keep(out.select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
 
@@ -272,8 +294,8 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix as documents: a row per document and round that takes words of it, with those words as its text.
 
-    A document taken in full keeps its text. One that is taken up to three times comes up to three times. Rows of
-    equal doc_id, source and size stand for each other. Columns are those of ``docs``.
+    A document taken in full keeps its text. One that is taken up to three times comes up to three times. Each of repeated rows
+    has its own takes; which of them has which is left open. Columns are those of ``docs``.
     """
     with Workspace(spark, "mix") as ws:
         rows, sources, uses = mix(spark, ws, docs, block, shard_slots, seed)
@@ -284,16 +306,25 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, sh
         whole = F.transform("full", lambda r: F.struct(r.alias("r"), (F.col("__lo") + at).alias("a"), (F.col("__hi") + at).alias("b")))
         part = F.when(_part_words() > 0, F.array(F.struct(F.col("part_round").alias("r"), (F.col("__lo") + at).alias("a"), (F.least("__hi", "part") + at).alias("b"))))
         spans = each.withColumn("x", F.explode(F.concat(whole, F.coalesce(part, F.array().cast("array<struct<r:bigint,a:bigint,b:bigint>>")))))
-        twin = Window.partitionBy("doc_id", "__size", "__id").orderBy("__start")
-        nth = rows.select(F.col("doc_id").alias("__d"), F.col("__size").alias("__n"), F.col("__id").alias("__i"), F.col("__start").alias("__s"), F.row_number().over(twin).alias("__nth"))
-        takes = spans.groupBy("doc_id", "__size", "__id", "__start").agg(F.sort_array(F.collect_list("x")).alias("__takes"))
-        takes = takes.join(nth, takes["doc_id"].eqNullSafe(nth["__d"]) & (takes["__start"] == nth["__s"]) & (takes["__id"] == nth["__i"]) & (takes["__size"] == nth["__n"]))
-        takes = ws.keep(takes.select("__d", "__n", "__i", "__nth", "__takes"))
+        takes = spans.groupBy("__id", "__start").agg(F.sort_array(F.collect_list("x")).alias("__takes"))
+        named = rows.where("__size > 0").select(F.col("doc_id").alias("__d"), F.col("__hash").alias("__h"), F.col("__id").alias("__i"), F.col("__nth").alias("__n"), "__copies", "__start", "__id")
+        takes = ws.keep(named.join(takes, ["__id", "__start"]).select("__d", "__h", "__i", "__n", "__takes", "__copies"))
+        repeated = ws.stage(takes.where("__copies > 1").select("__d", "__h", "__i").distinct())
+        several = not repeated.isEmpty()
+        if several:
+            repeated = Workspace(spark, "mix").keep(repeated)
     names = docs.columns
     ids = spark.createDataFrame([(p["source"], p["id"]) for p in sources], "__source string, __id long")
     texts = docs.join(F.broadcast(ids) if len(sources) <= 20_000 else ids, docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
-    texts = texts.withColumn("__size", F.size(F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), "")).cast("long"))
-    joined = texts.join(takes, texts["doc_id"].eqNullSafe(takes["__d"]) & (texts["__id"] == takes["__i"]) & (texts["__size"] == takes["__n"]) & (takes["__nth"] == 1))
+    texts = texts.withColumn("__hash", F.xxhash64("text"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["__d"]) & (a["__hash"] == b["__h"]) & (a["__id"] == b["__i"])
+    single = takes.where("__copies = 1")
+    joined = texts.join(single, same(texts, single)).select(*names, "__takes")
+    if several:  # only these rows are numbered
+        number = Window.partitionBy("doc_id", "__hash", "__id").orderBy("__hash")
+        numbered = texts.join(repeated, same(texts, repeated), "left_semi").withColumn("__nth", F.row_number().over(number).cast("long"))
+        more = takes.where("__copies > 1")
+        joined = joined.unionByName(numbered.join(more, same(numbered, more) & (numbered["__nth"] == more["__n"])).select(*names, "__takes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,5 +343,5 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK, sh
             rows = batch.take(pa.array(keep, pa.int64())).select(names)
             yield rows.set_column(i, "text", pa.array(texts, batch.schema.field(i).type))
 
-    out = joined.select(*names, "__takes").mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out

@@ -414,19 +414,40 @@ def test_mixing(spark, docs, rows, none, block):
         taken[s] += take
     assert all(taken[s] == round(goal[s]) for s in names)
     assert mixing.mix_report(spark, none, block).count() == 0
-    if block == 64:
-        once = {r[0]: r for r in rows}
-        unique = spark.createDataFrame(list(once.values()), SCHEMA)
-        report = {r.doc_id: r.taken for r in mixing.mix_report(spark, unique).collect()}
-        mixed = mixing.mixed_documents(spark, unique)
-        words = Counter()
-        assert mixed.columns == unique.columns
+    if block == 64:  # repeated rows, null ids and rows of one id with different texts among them
+        given = rows + [(None if i % 2 else 7, f"{r[1] or ''} x{i % 5}", *r[2:]) for i, r in enumerate(rows[20:60])]
+        given = spark.createDataFrame(given, SCHEMA).repartition(3)
+        report = Counter()
+        for r in mixing.mix_report(spark, given, block, shard_slots=8).collect():
+            report[r.doc_id] += r.taken
+        mixed, words = mixing.mixed_documents(spark, given, block, shard_slots=8), Counter()
+        texts = defaultdict(Counter)
+        for r in given.collect():
+            texts[r.doc_id] += Counter(SPACE.findall(r.text or ""))
+        assert mixed.columns == given.columns
         for r in mixed.collect():
             words[r.doc_id] += len(SPACE.findall(r.text))
-            assert r.n_chars == len(r.text) and set(SPACE.findall(r.text)) <= set(SPACE.findall(once[r.doc_id][1]))
+            assert r.n_chars == len(r.text) and set(SPACE.findall(r.text)) <= set(texts[r.doc_id])
         assert {k: v for k, v in report.items() if v} == dict(words)
 
 
+def test_shards_take_all_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_GROUP", 3)
+    sources = [{"id": i, "words": w, "size": w, "blocks": -(-w // 4), "rounds": 1, "rest": 0} for i, w in enumerate((400, 37, 0, 1200))]
+    rows = mixing.draw(spark, sources, 4, 10, 1).collect()
+    for p in sources:
+        own = sorted((r["first"], r["n"]) for r in rows if r["id"] == p["id"])
+        at = 0
+        for first, n in own:
+            assert first == at
+            at += n
+        assert at == p["blocks"]
+    dealt = Counter()
+    for r in rows:
+        dealt[r.shard] += r.n
+    assert sum(dealt.values()) == 410 and all(n <= 10 for n in dealt.values()) and sum(n < 10 for n in dealt.values()) <= 1 + 410 // 30
+
+
 def brute_spans(text):
     out = [(*m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(*m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
