@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -132,15 +133,15 @@ class Rewritten:
         if not changes:
             return
         parts, edits, at, shift = [], [], 0, 0
-        old = list(self.edits)
+        old = deque(self.edits)
         for start, end, new in changes:
             parts += (self.text[at:start], new)
             src_start, src_end = self.source(start, end)
             while old and old[0][1] <= start:
-                a, b, c, d = old.pop(0)
+                a, b, c, d = old.popleft()
                 edits.append((a + shift, b + shift, c, d))
             while old and old[0][0] < end:
-                old.pop(0)  # swallowed; its source span lies within this one
+                old.popleft()  # swallowed; its source span lies within this one
             edits.append((start + shift, start + shift + len(new), src_start, src_end))
             shift += len(new) - (end - start)
             at = end
@@ -238,7 +239,7 @@ def rewrite(text: str) -> Rewritten | None:
     """The text after all transducers, None if none has anything to do."""
     chars = _HINT_CHARS.search(text)
     low = text.lower() if not chars else ""
-    spelled = bool(chars) or sum(w in low for w in _HINT_WORDS) >= 2 and _RUN.search(text)
+    spelled = bool(chars) or sum(low.count(w) for w in _HINT_WORDS) >= 2 and _RUN.search(text)
     if not (chars or spelled or _HINT_SIGN.search(text)):
         return None
     r = Rewritten(text)
@@ -262,12 +263,16 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
     r = rewrite(text)
     if not r:
         return base, base
+    plain = {kind: [x for x in base if x[2] == kind] for kind in KINDS}  # apart from each other, so their ends ascend too
     added: list[tuple[int, int, str]] = []
+    free = dict.fromkeys(KINDS, 0)  # where the last added span of a kind ends
     for start, end, kind in base_spans(r.text):
         if r.touched(start, end):
             s, e = r.source(start, end)
-            if not any(k == kind and a < e and s < b for a, b, k in (*base, *added[-4:])):
+            before = bisect_left(plain[kind], e, key=lambda x: x[0]) - 1
+            if s >= free[kind] and (before < 0 or plain[kind][before][1] <= s):
                 added.append((s, e, kind))
+                free[kind] = e
     return base, sorted([*base, *added], key=lambda x: (x[0], KINDS.index(x[2])))
 
 

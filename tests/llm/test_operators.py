@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -528,7 +529,33 @@ def test_pii_leaves_prose_alone(text):
     assert pii.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text", ["plus " + "one " * 10 + "one", "call plus " + "five " * 10 + "five now", "plus neun " + "neun-" * 10 + "neun"])
+def test_pii_one_digit_word_alone(text):
+    assert [k for _, _, k in pii.all_spans(text)[1]] == ["phone"]
+
+
+def test_added_spans_equal_all_against_all():
+    rng = random.Random(12)
+    parts = ["a@b.cc ", "ａ@b.cc ", "x (at) y dot com ", "+1 555 010 2030 44 ", "+１ 555 010 2030 44 ", "10.0.0.1 ", "10.0.0.١ ", "@", "4111 1111 1111 1111", " 4１11 1111 1111 1111 ", "one two three four "]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 30)))
+        base, every = pii.all_spans(text)
+        r, added = pii.rewrite(text), []
+        for start, end, kind in pii.base_spans(r.text) if r else ():
+            if r.touched(start, end):
+                s, e = r.source(start, end)
+                if not any(k == kind and a < e and s < b for a, b, k in (*base, *added)):
+                    added.append((s, e, kind))
+        assert Counter(every) == Counter([*base, *added]), text
+
+
 def test_pii_is_linear():
+    for n in (1000, 16000):  # many added spans among many base spans
+        at = time.process_time()
+        assert len(pii.all_spans("a@b.cc ａ@b.cc x (at) y dot com " * n)[1]) == 3 * n
+        took = time.process_time() - at
+        first = took if n == 1000 else first
+    assert took < 40 * max(first, 0.05)
     for t in ("a" * 300_000, "1" * 300_000, "+1" * 100_000, "a@" * 100_000, "1." * 100_000, "one " * 50_000, "at dot " * 40_000, "0" * 6000 + ".1.1.1"):
         pii.all_spans(t)
 
