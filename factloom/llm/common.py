@@ -25,12 +25,25 @@ def shared_root(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_DIRS:
         _OWN_DIRS.append("file://" + tempfile.mkdtemp(prefix="factloom-"))
         atexit.register(_forget)
     return _OWN_DIRS[0]
 
 
+#: Tables that outlive their workspaces; they are removed when Python ends, if the session is still there.
+_KEPT: dict[str, Workspace] = {}
+
+
+@atexit.register
+def _forget_kept() -> None:
+    for ws in list(_KEPT.values()):
+        if ws.spark.sparkContext._jsc is not None and not ws.spark.sparkContext._jsc.sc().isStopped():
+            ws.forget()
+
+
 def _forget() -> None:
     for uri in _OWN_DIRS:
         fs, path = pafs.FileSystem.from_uri(uri)
@@ -70,8 +83,16 @@ class Workspace:
         return self._write(df, f"{self.uri}/t{self._n}")
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """A staged table that outlives the workspace (removed with the shared folder)."""
-        return self._write(df, f"{self.uri}-result")
+        """A staged table that outlives the workspace, until ``forget`` or the end of Python."""
+        self._n += 1
+        out = self._write(df, f"{self.uri}-result/t{self._n}")
+        _KEPT[self.uri] = self
+        return out
+
+    def forget(self) -> None:
+        """Removes what ``keep`` returned."""
+        self.drop(f"{self.uri}-result")
+        _KEPT.pop(self.uri, None)
 
 
 def small_join(left: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
