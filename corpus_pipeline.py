@@ -7,12 +7,11 @@ next stage's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 import os
-import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm.common import shared_root
+from factloom.llm.common import Workspace
 from factloom.llm.mixing import mixed_documents
 from factloom.llm.near_dedup import drop_near_duplicates
 from factloom.llm.packing import pack
@@ -55,15 +54,17 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Tokenizing and similarity by sketches are beyond SQL; tests compare the stages' operators with brute force, no test runs the whole pipeline.
+#: Tokenizing and similarity by sketches are beyond SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_root(spark)}/factloom/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = f"{folder}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    """The last stage's rows. A stage's table is removed once the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        ws = Workspace(spark, "pipeline")
+        docs = ws.keep(stage(spark, docs, sf_dir))
+        if last:
+            last.forget()
+        last = ws
     return docs
