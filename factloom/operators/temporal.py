@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import version_key
+from factloom.functions.text import exported, version_key
 from factloom.schemas import DISPATCHED
 
 
@@ -125,6 +125,33 @@ def report(a: DataFrame, b: DataFrame, key: list[str], rows: int = 10) -> DataFr
     return out
 
 
+def without_snapshot(rows: DataFrame, commit: str) -> DataFrame:
+    """rows (commit_hash, ...) without those of one commit."""
+    return rows.where(F.col("commit_hash") != commit)
+
+
+def missing_entry_points(defined: DataFrame, entry_points: DataFrame) -> DataFrame:
+    """Audit: exported functions and methods of a library (no main) that are no entry point."""
+    named = defined.where(F.col("kind").isin("function", "method") & exported(F.col("name"))).select(F.col("qualified_name").alias("sym"))
+    return named.join(entry_points, "sym", "left_anti")
+
+
+def dead_module_facts(facts: DataFrame, modules: DataFrame) -> DataFrame:
+    """Audit: live facts (module, version, valid_to) of a module version that is not live (modules: module, version)."""
+    return live(facts).where("module is not null").join(modules.select("module", "version"), ["module", "version"], "left_anti")
+
+
+def begun_by(facts: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Audit: facts that begin at a skipped commit (seq)."""
+    return facts.join(skipped.select(F.col("seq").alias("valid_from")), "valid_from", "left_semi")
+
+
+def moved_inputs(derivations: DataFrame, current: DataFrame) -> DataFrame:
+    """Audit: recorded inputs (input_kind, input_key, input_hash) whose current hash is another one."""
+    now = current.select("input_kind", "input_key", F.col("input_hash").alias("__now"))
+    return derivations.join(now, ["input_kind", "input_key"]).where("input_hash <> __now")
+
+
 def fingerprints(commits: DataFrame) -> DataFrame:
     """(repo, seq, fingerprint): SHA-256 over the hashes up to seq, each ended by a newline."""
     w = Window.partitionBy("repo").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

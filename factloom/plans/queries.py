@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as names
-from factloom.operators import derive, dispatch, graph, temporal
+from factloom.operators import derive, dispatch, graph, reports, temporal
 from factloom.plans.workload import SQL, Workload
+from factloom.sources import readers
 
 SEQ = 60
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,10 +287,14 @@ def audits(w):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-@query("SELECT DISTINCT i.iface, m.type FROM (SELECT iface, method, count(*) OVER (PARTITION BY iface) AS n FROM (SELECT DISTINCT iface, method FROM refs)) i JOIN methods m USING (method) GROUP BY i.iface, m.type, i.n HAVING count(*) = i.n")
+_ASKED = "asked AS (SELECT DISTINCT 'N' || n_nationkey AS iface, (n_nationkey * k + k - 1) % 7 + 1 AS method FROM nation, (VALUES (1), (3), (5)) AS v(k))"
+
+
+@query("SELECT a.iface, m.type FROM asked a JOIN methods m USING (method) GROUP BY a.iface, m.type HAVING count(*) = (SELECT count(*) FROM asked x WHERE x.iface = a.iface)", _ASKED)
 def implements(w):
     types = w.methods().groupBy("type").agg(F.collect_set(F.col("method").cast("string")).alias("methods"))
-    return derive.implementers(types, w.refs().groupBy("iface").agg(F.collect_set(F.col("method").cast("string")).alias("methods")))
+    asked = F.array_distinct(F.transform(F.array(*[F.lit(k) for k in (1, 3, 5)]), lambda k: ((F.col("n_nationkey") * k + k - 1) % 7 + 1).cast("string")))
+    return derive.implementers(types, w.read("nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("iface"), asked.alias("methods"))).select("iface", "type")
 
 
 def _program(w, types: str = "true"):
@@ -403,6 +408,100 @@ def precision_percentiles(w):
     return ended.agg(*[F.percentile(F.col("n") / F.col("gone"), q).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.99)])
 
 
+@query("SELECT type, sha256(string_agg(DISTINCT CAST(method AS VARCHAR) || chr(10), '' ORDER BY CAST(method AS VARCHAR) || chr(10))) AS set_hash FROM methods GROUP BY type")
+def method_set_hash(w):
+    return w.methods().groupBy("type").agg(names.set_hash(F.col("method").cast("string")).alias("set_hash"))
+
+
+_PATCHES = "'s' || s_suppkey || CASE WHEN s_nationkey % 2 = 0 THEN '.go' ELSE '.txt' END"
+
+
+@query(f"SELECT s_suppkey AS patch_id, path, s AS h_start, greatest(s, s + n - 1) AS h_end FROM (SELECT s_suppkey, {_PATCHES} AS path, s_suppkey::INTEGER AS s, 1 AS n FROM supplier UNION ALL SELECT s_suppkey, {_PATCHES}, s_suppkey::INTEGER + 10, s_nationkey::INTEGER FROM supplier) WHERE path LIKE '%.go'")
+def diff_text_parse(w):
+    """A patch per supplier with two hunks and a header that is none."""
+    path = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.when(F.col("s_nationkey") % 2 == 0, ".go").otherwise(".txt"))
+    text = F.format_string("--- a/%s\n+++ b/%s\n@@ -1 +%d @@ f\n+x\n@@ bad @@\n@@ -5,2 +%d,%d @@\n+y", path, path, F.col("s_suppkey"), F.col("s_suppkey") + 10, F.col("s_nationkey"))
+    return readers.diff_hunks(w.read("supplier").select(F.col("s_suppkey").alias("patch_id"), text.alias("text")))
+
+
+@query("SELECT s_suppkey AS id, 'm.org/s' || s_suppkey AS module, unnest(['a.org/x' || s_suppkey, 'solo', 'one.org/y']) AS path, unnest(['v1.' || s_nationkey || '.0', 'v0.1.0', 'v2.0.0-rc1']) AS version FROM supplier")
+def required_modules(w):
+    """What is excluded or replaced is not required."""
+    text = F.format_string("module m.org/s%d\n\ngo 1.21\n\nrequire (\n\ta.org/x%d v1.%d.0 // indirect\n\tsolo v0.1.0\n)\n\nexclude (\n\tb.org/e v9.9.9\n)\nreplace c.org/r v1.0.0 => d.org/r v1.1.0\nrequire one.org/y v2.0.0-rc1\n", F.col("s_suppkey"), F.col("s_suppkey"), F.col("s_nationkey"))
+    return readers.required_modules(w.read("supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")))
+
+
+_NEXT = "CASE WHEN s_acctbal > 5000 THEN 'v2' ELSE 'v1' END"
+
+
+@query(f"SELECT s_suppkey AS module, 'v1' AS version, 0::BIGINT AS valid_from, CASE WHEN s_acctbal > 5000 THEN 1::BIGINT END AS valid_to FROM supplier UNION ALL SELECT s_suppkey, 'v2', 1, NULL FROM supplier WHERE s_acctbal > 5000")
+def scd2_dep_versions(w):
+    """Modules that the next commit does not name stay open."""
+    s = w.read("supplier")
+    old = s.select(F.col("s_suppkey").alias("module"), F.lit("v1").alias("version"), F.lit(0).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
+    new = s.where("s_acctbal > 0").select(F.col("s_suppkey").alias("module"), F.when(F.col("s_acctbal") > 5000, "v2").otherwise("v1").alias("version"))
+    return temporal.scd2_apply(old, new, "module", "version", 1, close_missing=False)
+
+
+_CHANGED = f"changed AS (SELECT source AS path, symbol, {_CHANGE} AS change FROM texts WHERE {_CHANGE} <> 'trivial')"
+
+
+@query("SELECT path, path || ': ' || string_agg(symbol || ' (' || change || ')', ', ' ORDER BY symbol) AS summary FROM changed GROUP BY path", _CHANGED)
+def change_summary(w):
+    return reports.summary(dispatch.classify(w.texts()).where("change <> 'trivial'").select(F.col("source").alias("path"), "symbol", "change"))
+
+
+@query("SELECT DISTINCT path FROM changed", _CHANGED)
+def changed_paths(w):
+    return reports.file_paths(dispatch.classify(w.texts()).where("change <> 'trivial'").select(F.col("source").alias("path"), "symbol", "change"))
+
+
+@query("SELECT round(avg(s_acctbal / s_suppkey), 6) AS speedup FROM supplier WHERE s_nationkey <> 3 AND s_acctbal > 0 AND s_suppkey > 0")
+def average_speedup(w):
+    runs = w.read("supplier").select((F.col("s_nationkey") != 3).alias("passed"), F.col("s_acctbal").cast("double").alias("full_ms"), F.col("s_suppkey").alias("incremental_ms"))
+    return reports.average_speedup(runs).select(F.round("speedup", 6).alias("speedup"))
+
+
+@query("""SELECT '{"prov":"' || prov || '","dst":[' || string_agg(DISTINCT CAST(dst AS VARCHAR), ',' ORDER BY lpad(CAST(dst AS VARCHAR), 20, '0')) || ']}' AS json FROM (SELECT prov, dst, lpad(CAST(dst AS VARCHAR), 20, '0') AS o FROM facts) GROUP BY prov""".replace("string_agg(DISTINCT CAST(dst AS VARCHAR), ',' ORDER BY lpad(CAST(dst AS VARCHAR), 20, '0'))", "array_to_string(list_sort(list(DISTINCT dst)), ',')"))
+def targets_json(w):
+    return reports.as_json(w.facts(), "prov", "dst")
+
+
+@query("SELECT seq, left(commit_hash, 12) AS short FROM commits")
+def short_commits(w):
+    return w.commits().select("seq", names.short_hash(F.col("commit_hash")).alias("short"))
+
+
+@query("SELECT p_partkey, replace(p_brand || '/' || p_type, '#', '/') AS path FROM part")
+def clean_paths(w):
+    return w.read("part").select("p_partkey", names.clean_path(F.concat(F.regexp_replace("p_brand", "#", r"\\"), F.lit("\\"), F.col("p_type"))).alias("path"))
+
+
+@query("SELECT src, dst, prov FROM facts WHERE vt IS NULL")
+def copied_without_deleted(w):
+    """Two snapshots, one of them deleted again."""
+    rows = _facts(w).select("src", "dst", "prov", F.when(F.col("valid_to").isNull(), "new").otherwise("old").alias("commit_hash"))
+    return temporal.without_snapshot(rows, "old").drop("commit_hash")
+
+
+@query("""SELECT 'exported names that are no entry point' AS audit, CAST(count(*) AS BIGINT) AS rows FROM part WHERE p_size > 25 UNION ALL
+SELECT 'live facts of a dead module version', CAST(count(*) AS BIGINT) FROM modules WHERE valid_to IS NOT NULL UNION ALL
+SELECT 'facts begun by a skipped commit', CAST(count(*) AS BIGINT) FROM facts WHERE vf % 9 = 0 UNION ALL
+SELECT 'recorded inputs that are not the current ones', CAST(count(*) AS BIGINT) FROM versions WHERE old_hash <> new_hash""")
+def audits_of_inputs(w):
+    part = w.read("part")
+    defined = part.select(F.lit("p.go").alias("file_path"), F.lit("pkg").alias("package"), F.lit("function").alias("kind"), F.concat(F.lit("Make"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("pkg.Make"), F.col("p_partkey").cast("string")).alias("qualified_name"), "p_size")
+    missing = temporal.missing_entry_points(defined, derive.entry_points(defined.where("p_size <= 25")))
+    modules = w.modules()
+    dead = temporal.dead_module_facts(modules.select("module", "version", F.lit(None).cast("long").alias("valid_to")), modules.where("valid_to is null"))
+    skipped = w.commits().where("seq % 9 = 0").select("seq")
+    v = w.versions()
+    old = temporal.moved_inputs(v.select(F.lit("FILE").alias("input_kind"), F.col("file").alias("input_key"), F.col("old_hash").alias("input_hash")), v.select(F.lit("FILE").alias("input_kind"), F.col("file").alias("input_key"), F.col("new_hash").alias("input_hash")))
+    counts = (("exported names that are no entry point", missing), ("live facts of a dead module version", dead), ("facts begun by a skipped commit", temporal.begun_by(_facts(w), skipped)), ("recorded inputs that are not the current ones", old))
+    rows = [d.agg(F.count("*").alias("rows")).select(F.lit(n).alias("audit"), "rows") for n, d in counts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def run_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what the roots reach at SEQ, with depth and weakest link."""
     return QUERIES["weakest_link"](spark, sf_dir)

@@ -11,15 +11,15 @@ SQL = f"""
 WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer),
 facts AS (SELECT o_custkey AS src, (o_orderkey * 7919 + 13) % n.n AS dst, CASE WHEN o_orderkey % 4 = 0 THEN 'interface_resolved' ELSE 'direct_call' END AS prov, o_orderkey AS site,
   CAST({MONTHS} AS BIGINT) AS vf, CASE WHEN o_orderstatus <> 'O' THEN CAST({MONTHS} + 1 + o_orderkey % 12 AS BIGINT) END AS vt
-  FROM orders, n WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
+  FROM orders, n),
 edges AS (SELECT o_custkey AS src, (o_orderkey * 7919 + 13) % n.n AS dst, CASE WHEN o_orderkey % 4 = 0 THEN 'interface_resolved' ELSE 'direct_call' END AS prov, o_orderkey AS site
-  FROM orders, n WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 2 = 0),
+  FROM orders, n),
 roots AS (SELECT c_custkey AS sym FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'BUILDING'),
 commits AS (SELECT DISTINCT vf AS seq, sha256('c' || vf) AS commit_hash FROM facts),
 type_ifaces AS (SELECT p_type || '#' || p_brand AS iface, p_partkey AS type FROM part),
 methods AS (SELECT p_partkey AS type, k AS method FROM part, (VALUES (1), (2), (3), (4), (5), (6), (7)) AS v(k) WHERE (p_partkey + p_size * 7 + k * 11) % 13 = 0),
 refs AS (SELECT DISTINCT l_suppkey AS caller, p_type || '#' || p_brand AS iface, l_linenumber AS method
-  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity >= 45),
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
 symbols AS (SELECT user_id AS path, event_id AS symbol, 10 * row_number() OVER w AS line_start, 10 * row_number() OVER w + 9 AS line_end FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 hunks AS (SELECT user_id AS path, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) AS h_start, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) + 3 AS h_end FROM events WHERE event_type = 'error' AND regexp_matches(props, ': *[0-9]')),
 files AS (SELECT o_custkey AS file, CAST({MONTHS} AS BIGINT) AS seq, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS hash FROM orders GROUP BY 1, 2),
@@ -47,10 +47,10 @@ class Workload:
         return joined.select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7919 + 13) % F.col("n")).alias("dst"), prov.alias("prov"), F.col("o_orderkey").alias("site"), *[c for c in ("vf", "vt") if c in orders.columns])
 
     def edges(self) -> DataFrame:
-        return self._calls(self.read("orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 2 = 0"))
+        return self._calls(self.read("orders"))
 
     def facts(self) -> DataFrame:
-        orders = self.read("orders").where("o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')").withColumn("vf", F.expr(f"cast({MONTHS} as bigint)"))
+        orders = self.read("orders").withColumn("vf", F.expr(f"cast({MONTHS} as bigint)"))
         return self._calls(orders.withColumn("vt", F.expr("case when o_orderstatus <> 'O' then cast(vf + 1 + o_orderkey % 12 as bigint) end")))
 
     def roots(self) -> DataFrame:
@@ -67,7 +67,7 @@ class Workload:
         return self.read("part").select("p_partkey", "p_size", numbers.alias("method")).where("(p_partkey + p_size * 7 + method * 11) % 13 = 0").select(F.col("p_partkey").alias("type"), "method")
 
     def refs(self) -> DataFrame:
-        lines = self.read("lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select("l_suppkey", "l_partkey", "l_linenumber")
+        lines = self.read("lineitem").select("l_suppkey", "l_partkey", "l_linenumber")
         parts = self.type_ifaces()
         return lines.join(parts, lines["l_partkey"] == parts["type"]).select(F.col("l_suppkey").alias("caller"), "iface", F.col("l_linenumber").alias("method")).distinct()
 

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.schemas import SYMBOL_TABLE
+from factloom.schemas import DIRECT, DISPATCHED, SYMBOL_TABLE
+
+
+def parsed_tables(spark: SparkSession, path: str) -> DataFrame:
+    """A row per file, with its path; of a file that is no symbol table ``broken`` holds the text and all else is null."""
+    read = spark.read.schema(f"{SYMBOL_TABLE}, broken string").option("multiLine", True).option("columnNameOfCorruptRecord", "broken").json(path)
+    return read.select(F.col("_metadata.file_path").alias("table_path"), "*")
 
 
 def symbol_tables(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SYMBOL_TABLE).option("multiLine", True).json(path)
+    """The symbol tables of the files that could be parsed; parsed_tables tells which could not."""
+    return parsed_tables(spark, path).where("broken is null").drop("table_path", "broken")
 
 
 def defined_symbols(tables: DataFrame) -> DataFrame:
@@ -18,6 +25,22 @@ def defined_symbols(tables: DataFrame) -> DataFrame:
     return files.select("module_path", "f.file_path", "f.import_path", F.explode("f.defined").alias("d")).select("module_path", "file_path", "import_path", "d.*")
 
 
+def interfaces(defined: DataFrame) -> DataFrame:
+    """(iface, methods) of all modules and packages, by qualified name; methods of embedded interfaces are not among them."""
+    return defined.where("kind = 'interface'").select(F.col("qualified_name").alias("iface"), F.coalesce("method_set", F.array().cast("array<string>")).alias("methods")).distinct()
+
+
+def type_methods(defined: DataFrame) -> DataFrame:
+    """(type, methods) of the types that have methods: `pkg.T` with what is declared with a receiver T or *T."""
+    owner = F.concat("import_path", F.lit("."), F.regexp_replace("receiver_type", r"^\*", ""))
+    return defined.where("kind = 'method'").groupBy(owner.alias("type")).agg(F.array_sort(F.collect_set("name")).alias("methods"))
+
+
+def direct_and_dispatched(references: DataFrame) -> DataFrame:
+    """The references that become facts: direct calls and calls through interfaces."""
+    return references.where(F.col("kind").isin(DIRECT, DISPATCHED))
+
+
 def call_references(tables: DataFrame) -> DataFrame:
     files = tables.select("module_path", F.explode("files").alias("f"))
     return files.select("module_path", "f.file_path", F.explode("f.references").alias("r")).select("module_path", "file_path", "r.*")
@@ -43,8 +66,13 @@ def linearize(log: DataFrame) -> DataFrame:
 
 
 def required_modules(texts: DataFrame) -> DataFrame:
-    """(id, module, path, version) of (id, text) in go.mod form, block and single-line directives."""
+    """(id, module, path, version) of (id, text) in go.mod form: what single-line and block requires name, indirect ones included."""
     module = F.regexp_extract("text", r"(?m)^module\s+(\S+)", 1)
-    pairs = F.regexp_extract_all("text", F.lit(r"(?m)^(?:require\s+|\s+)([^\s()/]+\.\S+)\s+v\S+"), 1)
-    versions = F.regexp_extract_all("text", F.lit(r"(?m)^(?:require\s+|\s+)[^\s()/]+\.\S+\s+(v\S+)"), 1)
-    return texts.select("id", module.alias("module"), F.explode(F.arrays_zip(pairs.alias("path"), versions.alias("version"))).alias("r")).select("id", "module", "r.path", "r.version")
+    lines = texts.select("id", module.alias("module"), F.posexplode(F.split("text", r"\r?\n")).alias("pos", "raw"))
+    line = F.regexp_replace(F.regexp_replace("raw", r"//.*$", ""), r"^\s+|\s+$", "")
+    opened = F.when(line.rlike(r"^\w+\s*\($"), F.regexp_extract(line, r"^(\w+)", 1)).when(line == ")", F.lit(""))
+    within = Window.partitionBy("id").orderBy("pos")
+    lines = lines.withColumn("line", line).withColumn("block", F.coalesce(F.last(opened, ignorenulls=True).over(within), F.lit("")))
+    entry = F.when(F.col("block") == "require", F.col("line")).when((F.col("block") == "") & F.col("line").rlike(r"^require\s"), F.regexp_replace("line", r"^require\s+", ""))
+    found = lines.withColumn("entry", entry).where(F.col("entry").rlike(r"^\S+\s+v\S+$"))
+    return found.select("id", "module", F.regexp_extract("entry", r"^(\S+)", 1).alias("path"), F.regexp_extract("entry", r"(\S+)$", 1).alias("version"))
