@@ -102,7 +102,7 @@ sketch AS (
   UNION ALL SELECT 'language', lang, NULL, measure, share, b, count(*) FROM bucketed GROUP BY lang, measure, share, b
   UNION ALL SELECT 'all', NULL, NULL, measure, share, b, count(*) FROM bucketed GROUP BY measure, share, b),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY b) AS cum, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sketch),
-q AS (SELECT level, lang, source, measure, slack, total, min(CASE WHEN cum * 2 >= total THEN b END) AS b50, min(CASE WHEN cum * 4 >= total * 3 THEN b END) AS b75,
+q AS (SELECT level, lang, source, measure, share, total, min(CASE WHEN cum * 2 >= total THEN b END) AS b50, min(CASE WHEN cum * 4 >= total * 3 THEN b END) AS b75,
   min(CASE WHEN cum * 100 >= total * 99 THEN b END) AS b99 FROM cum GROUP BY level, lang, source, measure, share, total),
 top AS (SELECT *, CASE WHEN b50 < 64 THEN b50 ELSE (((b50 - 32) % 32 + 33) << ((b50 - 32) // 32)::INTEGER) - 1 END AS q50,
   CASE WHEN b75 < 64 THEN b75 ELSE (((b75 - 32) % 32 + 33) << ((b75 - 32) // 32)::INTEGER) - 1 END AS q75,
