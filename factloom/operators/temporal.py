@@ -46,6 +46,19 @@ def scd2_apply(current: DataFrame, incoming: DataFrame, key: str, value: str, se
     return closed.select(current.columns).unionByName(old).unionByName(opened.select(current.columns))
 
 
+def scd2_changes(open_rows: DataFrame, incoming: DataFrame, key: str, value: str, seq: int, close_missing: bool) -> DataFrame:
+    """What scd2_apply closes or opens at ``seq``, from the open rows alone; rows that stay as they are do not appear."""
+    after = scd2_apply(open_rows, incoming, key, value, seq, close_missing)
+    return after.where((F.col("valid_from") == seq) | (F.col("valid_to") == seq))
+
+
+def membership_changes(open_rows: DataFrame, now: DataFrame, key: str, seq: int) -> DataFrame:
+    """(key, valid_from, valid_to) of what leaves or enters a set at ``seq``; open_rows are its open intervals."""
+    gone = open_rows.join(now, key, "left_anti").select(key, "valid_from", F.lit(seq).cast("long").alias("valid_to"))
+    come = now.select(key).distinct().join(open_rows, key, "left_anti")
+    return gone.unionByName(come.select(key, F.lit(seq).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to")))
+
+
 def apply_facts(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """key and action: open, close or unchanged, from live facts and the facts derived now; duplicates of a key collapse."""
     a, b = old.select(*key).distinct().withColumn("__old", F.lit(1)), new.select(*key).distinct().withColumn("__new", F.lit(1))
