@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as names
 from factloom.operators import derive, dispatch, graph, reports, temporal
+from factloom.plans.indexer import Program, index
+from factloom.plans.staging import folder
+from factloom.plans.store import Store
 from factloom.plans.workload import SQL, Workload
 from factloom.sources import readers
 
@@ -340,6 +343,61 @@ def updated_snapshot(w):
     return edges.select("src", "dst").distinct()
 
 
+@query("SELECT DISTINCT src, coalesce(target, callee) AS dst FROM calls LEFT JOIN resolved USING (iface, method)", _PROGRAM.format(_NEW_TYPES))
+def changed_facts(w):
+    """The same change, deriving only the calls that it touches; the SQL is the full rebuild."""
+    old, new = _program(w), _program(w, "type % 10 <> 0")
+    facts = derive.compute_facts(*old).withColumns({"valid_from": F.lit(0).cast("long"), "valid_to": F.lit(None).cast("long")})
+    before, after = (derive.current_inputs(*p[1:]).withColumnRenamed("input_hash", h) for p, h in ((old, "__old"), (new, "__new")))
+    moved = before.join(after, ["input_kind", "input_key"], "full_outer").where(~F.col("__old").eqNullSafe(F.col("__new"))).select("input_kind", "input_key")
+    rows = derive.changes(facts, *new, w.spark.createDataFrame([], "file string"), moved, 1)
+    kept = facts.join(rows.select(*derive.KEY), derive.KEY, "left_anti")
+    return kept.select("src", "dst").unionByName(rows.where("valid_to is null").select("src", "dst")).distinct()
+
+
+_REACH_MOVED = "now_roots AS (SELECT c_custkey AS sym FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'MACHINERY'), m(sym) AS (SELECT sym FROM now_roots UNION SELECT f.dst FROM m JOIN facts f ON f.src = m.sym WHERE " + _AT2 + ")"
+
+
+@query("SELECT sym FROM m", _REACH_MOVED)
+def maintained_reachable(w):
+    """Reached after edges and roots have moved, from what was reached before; the SQL is a search over the new ones."""
+    names_ = lambda d: d.select(*[F.col(c).cast("string").alias(c) for c in d.columns if c in ("src", "dst", "sym")])
+    a, b = map(names_, _two_edge_sets(w))
+    old = names_(w.roots())
+    new = names_(w.read("customer").where("c_nationkey = 7 and c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("sym")))
+    return graph.rerooted(a, b, old, new, graph.reachable(a, old)).select(F.col("sym").cast("long").alias("sym"))
+
+
+_COMMITS = (
+    _PROGRAM.format("") + ", later AS (SELECT iface, method, 't.(T' || t.type || ').M' || method AS target FROM type_ifaces t JOIN methods m ON m.type = t.type " + _NEW_TYPES + "), "
+    "f0 AS (SELECT DISTINCT src, coalesce(target, callee) AS dst, file || ':' || calls.method AS site, 0 AS a FROM calls LEFT JOIN resolved USING (iface, method)), "
+    "f1 AS (SELECT DISTINCT src, coalesce(target, callee) AS dst, file || ':' || calls.method AS site, 1 AS b FROM calls LEFT JOIN later USING (iface, method)), "
+    "s0 AS (SELECT 's.F' || s_suppkey AS sym FROM supplier WHERE s_nationkey < 12), s1 AS (SELECT 's.F' || s_suppkey AS sym FROM supplier WHERE s_nationkey BETWEEN 6 AND 18), "
+    "r0 AS (SELECT sym, 0 AS a FROM (SELECT sym FROM s0 UNION SELECT dst FROM f0 WHERE src IN (SELECT sym FROM s0))), "
+    "r1 AS (SELECT sym, 1 AS b FROM (SELECT sym FROM s1 UNION SELECT dst FROM f1 WHERE src IN (SELECT sym FROM s1)))"
+)
+
+
+@query(
+    "SELECT 'fact' AS kind, src, dst, site, CAST(coalesce(a, 1) AS BIGINT) AS valid_from, CAST(CASE WHEN b IS NULL THEN 1 END AS BIGINT) AS valid_to FROM f0 FULL JOIN f1 USING (src, dst, site) "
+    "UNION ALL SELECT 'reached', sym, NULL, NULL, CAST(coalesce(a, 1) AS BIGINT), CAST(CASE WHEN b IS NULL THEN 1 END AS BIGINT) FROM r0 FULL JOIN r1 USING (sym)",
+    _COMMITS,
+)
+def indexed_history(w):
+    """Two commits through the indexer and its store: the intervals of all facts, and of what the commits' roots reach."""
+    spark = w.spark
+    store, clean = Store(spark, folder(spark, "store")), spark.createDataFrame([("s", [], True)], "package string, errors array<string>, complete boolean")
+
+    def at(seq: int) -> Program:
+        roots = w.read("supplier").where(("s_nationkey < 12", "s_nationkey between 6 and 18")[seq])
+        return Program(*_program(w, ("true", "type % 10 <> 0")[seq]), clean, roots.select(F.concat(F.lit("s.F"), F.col("s_suppkey").cast("string")).alias("sym")))
+
+    index(spark, store, spark.createDataFrame([(0, "a"), (1, "b")], "seq long, commit_hash string"), at, "v1")
+    facts = store.table("facts").select(F.lit("fact").alias("kind"), "src", "dst", "site", "valid_from", "valid_to")
+    none = F.lit(None).cast("string")
+    return facts.unionByName(store.table("reachable").select(F.lit("reached").alias("kind"), F.col("sym").alias("src"), none.alias("dst"), none.alias("site"), "valid_from", "valid_to"))
+
+
 @query("SELECT src AS input_key, min_by(prov, site) AS input_hash FROM facts WHERE vt IS NULL GROUP BY src")
 def recorded_file_hash(w):
     return temporal.recorded_hashes(w.facts().where("vt is null").select(F.col("site").alias("fact_id"), F.lit("FILE").alias("input_kind"), F.col("src").alias("input_key"), F.col("prov").alias("input_hash")))
