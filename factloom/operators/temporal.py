@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -166,7 +170,29 @@ def moved_inputs(derivations: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def fingerprints(commits: DataFrame) -> DataFrame:
-    """(repo, seq, fingerprint): SHA-256 over the hashes up to seq, each ended by a newline."""
-    w = Window.partitionBy("repo").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    text = F.array_join(F.transform(F.collect_list("commit_hash").over(w), lambda x: F.concat(x, F.lit("\n"))), "")
-    return commits.select("repo", "seq", F.sha2(text, 256).alias("fingerprint"))
+    """(repo, seq, fingerprint): SHA-256 over the hashes up to seq, each ended by a newline.
+
+    A chain can only be followed in order, so each repository's commits, a line each, are one group; every hash is read once.
+    """
+
+    def chain(rows: pa.Table) -> pa.Table:
+        rows, state, out = rows.sort_by("seq"), hashlib.sha256(), []
+        for h in rows.column("commit_hash").to_pylist():
+            state.update(f"{h}\n".encode() if h is not None else b"")
+            out.append(state.hexdigest())
+        return rows.drop_columns(["commit_hash"]).append_column("fingerprint", pa.array(out, pa.string()))
+
+    given = commits.select("repo", "seq", "commit_hash")
+    return given.groupBy("repo").applyInArrow(chain, given.drop("commit_hash").schema.add("fingerprint", "string"))
+
+
+def open_facts(current: DataFrame, rows: DataFrame, key: list[str], seq: int) -> DataFrame:
+    """current with an interval from ``seq`` for each of rows; a row that is open already, or there twice, is an error when the result is read."""
+    known = live(current).select(*[F.col(c).alias(f"__{c}") for c in key], F.lit(True).alias("__open"))
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+    checked = rows.join(known, met, "left").withColumn("__n", F.count("*").over(Window.partitionBy(*key)))
+    twice = F.col("__open") | (F.col("__n") > 1)
+    words = F.concat(F.lit("open already: "), F.to_json(F.struct(*key)))
+    checked = checked.where(F.when(F.coalesce(twice, F.col("__n") > 1), F.raise_error(words).cast("boolean")).otherwise(True))
+    opened = checked.withColumns({"valid_from": F.lit(seq).cast("long"), "valid_to": F.lit(None).cast("long")})
+    return current.unionByName(opened.select(current.columns))

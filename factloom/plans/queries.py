@@ -51,6 +51,14 @@ def live_facts(w):
     return temporal.live(_facts(w)).drop("valid_to")
 
 
+@query("SELECT src, dst, prov, site, vf AS valid_from, vt AS valid_to FROM facts WHERE vf <= {0} UNION ALL SELECT src, dst, prov, site, {1}, NULL FROM facts WHERE vf = {1}".format(SEQ, SEQ + 1))
+def open_facts(w):
+    """The facts known at one commit, and those that the next one opens."""
+    facts = _facts(w)
+    new = facts.where(F.col("valid_from") == SEQ + 1).drop("valid_from", "valid_to")
+    return temporal.open_facts(facts.where(F.col("valid_from") <= SEQ), new, ["src", "dst", "prov", "site"], SEQ + 1)
+
+
 @query("SELECT site, a.commit_hash AS introduced_by, b.commit_hash AS removed_by FROM facts JOIN commits a ON a.seq = vf LEFT JOIN commits b ON b.seq = vt")
 def attribution(w):
     return temporal.attribution(_facts(w), w.commits()).select("site", "introduced_by", "removed_by")
