@@ -4,8 +4,9 @@
 with the payload's length, a Xing frame with the frame count, byte count and seek table, then silent frames whose
 ancillary part carries the payload, 320 kbit/s each with a shorter last one (variable bitrate), then an ID3v1 tag.
 ``parse`` reads any such bytes without knowing who wrote them: it skips tags, finds the first header that is
-followed by another valid header, resynchronises after damage, checks each protected frame's CRC-16, reads
-Xing/Info and VBRI tables, and gives the exact number of samples and each frame's offset for seeking.
+followed by another valid header, resynchronises after damage, checks each protected frame's CRC-16 in all three
+layers, reads Xing/Info and VBRI tables with their byte counts, seek points and gapless trim, holds them against the frames
+that are there, and gives the exact number of samples and each frame's offset for seeking.
 
 Defined results: a null text is empty; the payload is padded with spaces to a positive multiple of 192 bytes; bytes
 without a frame give 0 frames and no version; equal texts give equal values; other columns are not read.
@@ -39,6 +40,8 @@ KBITS = {
 }
 HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
+#: Layer II: widths of the bit allocations by subband, as (subbands, bits) runs, of the format's tables a, b, c, d and that of lower rates.
+ALLOCATIONS = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
 
 _crc_table = np.zeros(256, np.uint16)
 for _i in range(256):
@@ -49,11 +52,13 @@ for _i in range(256):
 _CRC = _crc_table.tolist()
 
 
-def crc16(data: bytes) -> int:
-    """The CRC of MPEG audio headers (polynomial 0x8005, from 0xFFFF)."""
+def crc16(data: bytes, bits: int = 0) -> int:
+    """The CRC of MPEG audio headers (polynomial 0x8005, from 0xFFFF) over data, of whose last byte only the first bits count if bits is given."""
     v = 0xFFFF
-    for b in data:
+    for b in data[: len(data) - bool(bits)]:
         v = ((v << 8) & 0xFF00) ^ _CRC[(v >> 8) ^ b]
+    for k in range(bits):
+        v = (v << 1 & 0xFFFF) ^ (0x8005 if (v >> 15) ^ (data[-1] >> 7 - k & 1) else 0)
     return v
 
 
@@ -68,6 +73,23 @@ class Header:
     samples: int
     mono: bool
     side: int
+    joint: int = 32
+
+    @property
+    def allocations(self) -> tuple[int, ...]:
+        """Layers I and II: the width of each subband's bit allocation."""
+        if self.layer == 1:
+            return (4,) * 32
+        rate = self.kbits // (1 if self.mono else 2)
+        if self.version != "1":
+            name = "low"
+        elif 56 <= rate <= 80 or rate >= 56 and self.hertz == 48000:
+            name = "a"
+        elif rate >= 96:
+            name = "b"
+        else:
+            name = "d" if self.hertz == 32000 else "c"
+        return tuple(width for n, width in ALLOCATIONS[name] for _ in range(n))
 
 
 _headers: dict[int, Header | None] = {}
@@ -91,7 +113,25 @@ def _header(word: int) -> Header | None:
     size = (12000 * kbits // hertz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + pad
     mono = word >> 6 & 3 == 3
     side = (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return Header(VERSIONS[version], layer, not word >> 16 & 1, kbits, hertz, size, samples, mono, side if layer == 3 else 0)
+    return Header(VERSIONS[version], layer, not word >> 16 & 1, kbits, hertz, size, samples, mono, side if layer == 3 else 0, 4 * (word >> 4 & 3) + 4 if word >> 6 & 3 == 1 else 32)
+
+
+def protected_bits(h: Header, body: bytes) -> int:
+    """How many bits after a frame's CRC it covers: Layer III its side information, Layer I the bit allocations, Layer II those and
+    the choices of scale factors, two bits for each channel of a subband whose allocation is not zero. Subbands from h.joint on share one allocation."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels = 1 if h.mono else 2
+    widths = [(w, channels if k < h.joint else 1) for k, w in enumerate(h.allocations)]
+    total = sum(w * n for w, n in widths)
+    if h.layer == 1:
+        return total
+    value, left, chosen = int.from_bytes(body[: -(-total // 8)].ljust(-(-total // 8), b"\0"), "big"), 8 * -(-total // 8), 0
+    for w, n in widths:
+        for _ in range(n):
+            left -= w
+            chosen += (channels // n) * bool(value >> left & (1 << w) - 1)
+    return total + 2 * chosen
 
 
 def _word(kbits: int) -> int:
@@ -130,7 +170,7 @@ def wrap(payload: bytes) -> bytes:
         parts.append(_HEADS[kbits] + len(rest).to_bytes(2, "big") + rest + bytes(_ROOM[kbits] - len(rest)))
     audio = b"".join(parts)
     frames, size = whole + bool(rest) + 1, len(audio) + 3 * 80
-    places = np.minimum(np.arange(100) * (frames - 1) // 100, whole) * 3 * _FULL * 256 // max(1, size)
+    places = (240 + np.arange(100) * (frames - 1) // 100 * 3 * _FULL) * 256 // size
     toc = np.minimum(places, 255).astype(np.uint8).tobytes()
     xing = (_HEADS[80] + b"Xing" + struct.pack(">III", 7, frames - 1, size) + toc).ljust(240, b"\0")
     note = b"\0payload_bytes\0" + str(len(payload)).encode()
@@ -154,12 +194,34 @@ class Audio:
     gaps: int = 0
     tags: dict[str, str] = field(default_factory=dict)
     table: str = ""
-    table_frames: int = 0
-    toc: bytes = b""
+    table_at: int = 0
+    table_frames: int = -1
+    table_bytes: int = -1
+    seeks: list[tuple[int, int]] = field(default_factory=list)
+    trim: tuple[int, int] = (0, 0)
+    largest: int = 0
+    end: int = 0
+
+    @property
+    def played(self) -> int:
+        """Samples without the encoder's delay and padding, where a table tells them."""
+        return max(0, self.samples - sum(self.trim))
 
     @property
     def seconds(self) -> float:
-        return self.samples / self.hertz if self.hertz else 0.0
+        return self.played / self.hertz if self.hertz else 0.0
+
+    @property
+    def table_faults(self) -> list[str]:
+        """What the table says that the frames do not: its counts of frames (without its own, or with it) and of bytes, and seek points that
+        lie further from the frame they stand for than a table can round."""
+        n, size = len(self.offsets), self.end - self.table_at
+        out = ["frames"] if self.table_frames not in (-1, n, n + 1) else []
+        out += ["bytes"] if self.table_bytes not in (-1, size) else []
+        near = self.largest * (1 if self.table == "VBRI" else 2) + size // 256
+        if any(abs(at - (self.offsets[k] if k < n else self.end)) > near for k, at in self.seeks):
+            out.append("seek")
+        return out
 
 
 def _at(data: bytes, i: int) -> Header | None:
@@ -187,7 +249,8 @@ def parse(data: bytes) -> tuple[Audio, bytes]:
     if data[-128:-125] == b"TAG" and end - i >= 128:
         end -= 128
         out.tags["title"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-    crcs: dict[bytes, int] = {}
+    out.end = end
+    crcs: dict[tuple[bytes, int], int] = {}
     first = True
     while i < end:
         h = _at(data, i)
@@ -199,25 +262,32 @@ def parse(data: bytes) -> tuple[Audio, bytes]:
         if first:
             out.version, out.layer, out.hertz = h.version, h.layer, h.hertz
         start = i + 4 + 2 * h.protected
-        if h.protected and h.layer == 3:
-            covered = data[i + 2 : i + 4] + data[i + 6 : i + 6 + h.side]
-            if covered not in crcs:
+        if h.protected:
+            bits = protected_bits(h, data[start : min(start + 64, i + h.size)])
+            covered = data[i + 2 : i + 4] + data[start : start + -(-bits // 8)]
+            if (covered, bits) not in crcs:
                 if len(crcs) > 1000:
                     crcs.clear()
-                crcs[covered] = crc16(covered)
+                crcs[covered, bits] = crc16(covered, bits % 8)
             out.checked += 1
-            out.bad_crc += crcs[covered] != int.from_bytes(data[i + 4 : i + 6], "big")
-        if first and _table(data[i : i + h.size], start - i + h.side, out):
-            first = False
+            out.bad_crc += crcs[covered, bits] != int.from_bytes(data[i + 4 : i + 6], "big")
+        if first and h.layer == 3 and _table(data[i : i + h.size], start - i + h.side, out):
+            out.table_at, first = i, False
             i += h.size
             continue
         first = False
+        out.largest = max(out.largest, h.size)
         out.offsets.append(i)
         out.kbits.append(h.kbits)
         out.samples += h.samples
         at = start + h.side
         payload.append(data[at + 2 : at + 2 + int.from_bytes(data[at : at + 2], "big")])
         i += h.size
+    if out.table == "VBRI":
+        out.seeks = [(k, out.table_at + at) for k, at in out.seeks]
+    else:  # hundredths of the time, in 256ths of the bytes
+        n, size = len(out.offsets), out.table_bytes if out.table_bytes > 0 else end - out.table_at
+        out.seeks = [(k * n // 100, out.table_at + at * size // 256) for k, at in out.seeks]
     return out, b"".join(payload)
 
 
@@ -234,14 +304,23 @@ def _id3(body: bytes, tags: dict[str, str]) -> None:
 
 def _table(frame: bytes, at: int, out: Audio) -> bool:
     """Reads a Xing, Info or VBRI table, if the frame holds one."""
+    number = lambda p, n: int.from_bytes(frame[p : p + n], "big")
     if (kind := frame[at : at + 4]) in (b"Xing", b"Info"):
-        flags, p = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
+        flags, p = number(at + 4, 4), at + 8
         if flags & 1:
-            out.table_frames, p = int.from_bytes(frame[p : p + 4], "big"), p + 4
-        p += 4 * bool(flags & 2)
-        out.toc = frame[p : p + 100] if flags & 4 else b""
+            out.table_frames, p = number(p, 4), p + 4
+        if flags & 2:
+            out.table_bytes, p = number(p, 4), p + 4
+        if flags & 4:
+            out.seeks, p = list(enumerate(frame[p : p + 100])), p + 100
+        p += 4 * bool(flags & 8)
+        if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf"):
+            out.trim = number(p + 21, 3) >> 12, number(p + 21, 3) & 0xFFF
     elif (kind := frame[36:40]) == b"VBRI":
-        out.table_frames = int.from_bytes(frame[50:54], "big")
+        out.table_bytes, out.table_frames = number(46, 4), number(50, 4)
+        entries, scale, width, step = (number(p, 2) for p in (54, 56, 58, 60))
+        sizes = [scale * number(62 + k * width, width) for k in range(entries) if 62 + (k + 1) * width <= len(frame)]
+        out.seeks = [(k * step, at) for k, at in enumerate(np.cumsum([len(frame), *sizes]).tolist())]
     else:
         return False
     out.table = kind.decode()
@@ -252,12 +331,12 @@ def feature(a: Audio) -> str:
     """What the columns of a stream say, in one line: the exact duration as samples/hertz, and the seek offsets' digest."""
     seek = zlib.crc32(np.array(a.offsets, "<u8").tobytes())
     rates = f"{min(a.kbits, default=0)}-{max(a.kbits, default=0)}"
-    return f"mpeg{a.version} layer{a.layer} frames={len(a.offsets)} duration={a.samples}/{a.hertz} kbits={rates} {a.table or 'no table'}={a.table_frames} crc={a.checked - a.bad_crc}/{a.checked} gaps={a.gaps} seek={seek:08x}"
+    return f"mpeg{a.version} layer{a.layer} frames={len(a.offsets)} duration={a.played}/{a.hertz} kbits={rates} {a.table or 'no table'}={max(0, a.table_frames)}{''.join(f' wrong {x}' for x in a.table_faults)} crc={a.checked - a.bad_crc}/{a.checked} gaps={a.gaps} seek={seek:08x}"
 
 
 AUDIO_SCHEMA = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "samples long, hertz integer, bad_crc integer, gaps long, seek_offsets array<bigint>"
+    "samples long, hertz integer, bad_crc integer, gaps long, table_bytes long, table_faults integer, seek_offsets array<bigint>"
 )
 
 
@@ -282,11 +361,11 @@ def read_media(media: DataFrame) -> DataFrame:
         a, payload = parse(data)
         return (
             len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(),
-            feature(a), a.samples, a.hertz, a.bad_crc, a.gaps, a.offsets,
+            feature(a), a.played, a.hertz, a.bad_crc, a.gaps, max(0, a.table_bytes), len(a.table_faults), a.offsets,
         )
 
     names = [x.split()[0] for x in AUDIO_SCHEMA.split(", ")][1:]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

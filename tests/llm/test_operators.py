@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -179,7 +180,7 @@ def test_mpeg(spark, docs, rows, none):
 def test_mpeg_damage():
     media = mpeg_audio.wrap(mpeg_audio.padded(b"payload " * 1000))
     whole, _ = mpeg_audio.parse(media)
-    assert whole.table == "Xing" and whole.table_frames == len(whole.offsets) and len(whole.toc) == 100 and whole.tags["payload_bytes"] == "8064"
+    assert whole.table == "Xing" and whole.table_frames == len(whole.offsets) and len(whole.seeks) == 100 and whole.table_faults == [] and whole.tags["payload_bytes"] == "8064"
     cut, _ = mpeg_audio.parse(media[:1500] + media[1550:])
     assert cut.gaps > 0 and len(cut.offsets) == len(whole.offsets) - 1
     i = whole.offsets[2]
@@ -189,6 +190,70 @@ def test_mpeg_damage():
     assert mpeg_audio.parse(b"\xff" * 5000)[0].offsets == []
 
 
+def _slow_crc(bits: str) -> int:
+    """CRC-16 as the remainder of a division of bit strings."""
+    value = int(bits, 2) << 16 ^ 0xFFFF << len(bits)
+    for k in range(len(bits) - 1, -1, -1):
+        if value >> k + 16 & 1:
+            value ^= 0x18005 << k
+    return value
+
+
+@pytest.mark.parametrize(
+    ("word", "widths", "layer"),
+    [
+        (0xFFFE_5400, [4] * 64, 1),  # 48 kHz, two channels
+        (0xFFFE_5440, [4] * 8 + [4] * 28, 1),  # joint from subband 4: pairs below it, then one each
+        (0xFFFC_A400, [4] * 22 + [3] * 24 + [2] * 8, 2),  # 192 kbit/s, 48 kHz: table a
+        (0xFFFC_C000, [4] * 22 + [3] * 24 + [2] * 14, 2),  # 256 kbit/s, 44.1 kHz: table b
+        (0xFFFC_20C0, [4] * 2 + [3] * 6, 2),  # 48 kbit/s, one channel, 44.1 kHz: table c
+        (0xFFFC_28C0, [4] * 2 + [3] * 10, 2),  # the same at 32 kHz: table d
+        (0xFFF4_84C0, [4] * 4 + [3] * 7 + [2] * 19, 2),  # lower rates
+        (0xFFFC_A460, [4] * 22 + [3] * 2 + [3] * 11 + [2] * 4, 2),  # joint from subband 12
+    ],
+)
+def test_mpeg_crc_of_layers_one_and_two(word, widths, layer):
+    rng = random.Random(word)
+    h = mpeg_audio.header(word)
+    assert h and h.layer == layer and h.protected
+    frames = []
+    for _ in range(20):
+        allocations = [rng.choice([0, rng.randrange(1 << w)]) for w in widths]
+        pairs = 2 * h.joint if h.joint < 32 else len(widths)
+        chosen = sum((1 if k < pairs else 2) for k, v in enumerate(allocations) if v) if layer == 2 else 0
+        bits = "".join(f"{v:0{w}b}" for v, w in zip(allocations, widths, strict=True)) + "".join(rng.choice("01") for _ in range(2 * chosen))
+        crc = _slow_crc(f"{word & 0xFFFF:016b}" + bits)
+        body = "".join(rng.choice("01") for _ in range(8 * (h.size - 6) - len(bits)))
+        frames.append(word.to_bytes(4, "big") + crc.to_bytes(2, "big") + int(bits + body, 2).to_bytes(h.size - 6, "big"))
+    got, _ = mpeg_audio.parse(b"".join(frames))
+    assert (len(got.offsets), got.checked, got.bad_crc) == (20, 20, 0)
+    frames[3] = frames[3][:6] + bytes([frames[3][6] ^ 0x80]) + frames[3][7:]
+    assert mpeg_audio.parse(b"".join(frames))[0].bad_crc == 1
+
+
+def test_mpeg_tables():
+    media = mpeg_audio.wrap(mpeg_audio.padded(b"table " * 40_000))
+    whole, _ = mpeg_audio.parse(media)
+    at, n = whole.table_at, len(whole.offsets)
+    assert whole.table_bytes == whole.end - at and [k for k, _ in whole.seeks] == [i * n // 100 for i in range(100)]
+    fewer, _ = mpeg_audio.parse(media[: whole.offsets[100]] + media[whole.offsets[150] :])
+    assert fewer.table_faults == ["frames", "bytes", "seek"] and "wrong frames wrong bytes wrong seek" in mpeg_audio.feature(fewer)
+    # a table of the other kind, with one point for every 20 frames, in units of 4 bytes
+    frames = [media[a : a + 960] for a in whole.offsets[:60]]
+    points = b"".join((20 * 960 // 4).to_bytes(2, "big") for _ in range(3))
+    head = media[at : at + 4]
+    vbri = (head + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 960 * 60 + 240, 60, 3, 4, 2, 20) + points).ljust(240, b"\0")
+    got, _ = mpeg_audio.parse(vbri + b"".join(frames))
+    assert (got.table, got.table_frames, got.table_bytes, got.table_faults) == ("VBRI", 60, 57840, [])
+    assert got.seeks == [(0, 240), (20, 240 + 19200), (40, 240 + 38400), (60, 57840)] and got.offsets[20] == got.seeks[1][1]
+    # an encoder's delay and padding after the table
+    trim = media[at : at + 240]
+    p = trim.index(b"Xing") + 116
+    trim = trim[:p] + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big") + trim[p + 24 :]
+    got, _ = mpeg_audio.parse(media[:at] + trim + media[at + 240 :])
+    assert got.trim == (576, 1000) and got.played == got.samples - 1576 == whole.played - 1576
+
+
 def brute_near(rows, width):
     sets = []
     for r in rows:
