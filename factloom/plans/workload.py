@@ -21,7 +21,7 @@ methods AS (SELECT p_partkey AS type, k AS method FROM part, (VALUES (1), (2), (
 refs AS (SELECT DISTINCT l_suppkey AS caller, p_type || '#' || p_brand AS iface, l_linenumber AS method
   FROM lineitem JOIN part ON p_partkey = l_partkey),
 symbols AS (SELECT user_id AS path, event_id AS symbol, 10 * row_number() OVER w AS line_start, 10 * row_number() OVER w + 9 AS line_end FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-hunks AS (SELECT user_id AS path, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) AS h_start, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) + 3 AS h_end FROM events WHERE event_type = 'error' AND regexp_matches(props, ': *[0-9]')),
+hunks AS (SELECT user_id AS path, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) AS h_start, CAST(regexp_extract(props, ': *([0-9]+)', 1) AS BIGINT) + 3 AS h_end FROM events WHERE regexp_matches(props, ': *[0-9]')),
 files AS (SELECT o_custkey AS file, CAST({MONTHS} AS BIGINT) AS seq, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS hash FROM orders GROUP BY 1, 2),
 versions AS (SELECT file, max_by(hash, seq) FILTER (seq <= 40) AS old_hash, max_by(hash, seq) FILTER (seq <= 41) AS new_hash FROM files GROUP BY file),
 modules AS (SELECT s_suppkey AS module, 'v1.' || s_nationkey || '.' || s_suppkey % 10 AS version, s_suppkey % 50 AS valid_from, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 50 + 20 END AS valid_to FROM supplier),
@@ -78,7 +78,7 @@ class Workload:
 
     def hunks(self) -> DataFrame:
         start = F.regexp_extract("props", r": *([0-9]+)", 1)
-        return self.read("events").where(F.col("event_type") == "error").withColumn("s", start).where("s <> ''").select(F.col("user_id").alias("path"), F.col("s").cast("long").alias("h_start"), (F.col("s").cast("long") + 3).alias("h_end"))
+        return self.read("events").withColumn("s", start).where("s <> ''").select(F.col("user_id").alias("path"), F.col("s").cast("long").alias("h_start"), (F.col("s").cast("long") + 3).alias("h_end"))
 
     def versions(self) -> DataFrame:
         orders = self.read("orders").select(F.col("o_custkey").alias("file"), F.expr(f"cast({MONTHS} as bigint)").alias("seq"), "o_orderkey")

@@ -116,6 +116,26 @@ def test_diff_text_to_symbols(spark):
     assert {r.symbol for r in dispatch.overlaps(symbols, hunks).collect()} == {"Debit", "Get"}
 
 
+@pytest.mark.parametrize("lines", [1, 7, 4096])
+def test_overlaps_equal_all_pairs(spark, lines):
+    """Long and short ranges, ties, repeats, nulls, turned-round ranges, and a path that holds most rows."""
+    rng = random.Random(lines)
+
+    def ranges(n, width):
+        for k in range(n):
+            a = rng.randrange(-5, 120)
+            yield rng.choice(["hot", "hot", "b", None]), k, rng.choice([a] * 9 + [None]), rng.choice([a + rng.randrange(-1, width)] * 9 + [None])
+
+    symbols, hunks = [*ranges(150, 12)] * 2, [(p, a, b) for p, _, a, b in ranges(25, 30)]
+    got = dispatch.overlaps(
+        spark.createDataFrame(symbols, "path string, symbol long, line_start long, line_end long"), spark.createDataFrame(hunks, "path string, h_start long, h_end long"), lines
+    ).collect()
+    want = {(p, k) for p, k, a, b in symbols for q, c, d in hunks if None not in (p, a, b, c, d) and p == q and c <= b and d >= a}
+    assert sorted(map(tuple, got)) == sorted(want) and 20 < len(want) < 130
+    none = spark.createDataFrame([], "path string, h_start long, h_end long")
+    assert dispatch.overlaps(spark.createDataFrame(symbols, "path string, symbol long, line_start long, line_end long"), none, lines).count() == 0
+
+
 def test_modules_and_commits(spark):
     text = "module example.com/m\n\nrequire a.org/x v1.2.3\nrequire (\n\tb.org/y v0.1.0 // indirect\n\tc.org/z v2.0.0\n)\n"
     got = readers.required_modules(spark.createDataFrame([(1, text)], "id int, text string")).collect()
