@@ -1,12 +1,15 @@
 """Burrows-Wheeler transforms of shards, merged by interleave refinement.
 
-A shard's transform is built on its own. Two transforms are merged without sorting suffixes: an interleave vector
-says for each rank which of the two the suffix comes from; refining it once sorts by one more byte, by a stable
-counting sort of the vector by the transform's symbols. Ranks that separate in round h have a common prefix of
-h - 1 bytes, which gives the longest-common-prefix array on the way, and with it the repeated intervals.
+A shard's transform is built on its own. Two transforms are merged without sorting suffixes: an interleave says
+for each rank which suffix of which of the two stands there; refining it once orders it by one more byte, by the ranks that the
+suffixes one byte shorter have by then. Suffixes that separate in a round share as many bytes as it has ordered before, which gives the
+longest-common-prefix array on the way, and with it the repeated intervals.
+
+Settled intervals are passed over: one with suffixes of a single transform is in its final order, and its common prefixes are
+those of that transform, once known. In an interval of both, each transform's suffixes are in order, so a round merges two sorted runs.
 
 Each text ends in a separator that differs from all others, so matches never cross texts. The arrays of a merge are
-in memory and every round passes over all of them: this is the method in full, for inputs of some megabytes.
+in memory: this is the method in full, for inputs of some megabytes.
 """
 
 from __future__ import annotations
@@ -49,55 +52,68 @@ def build(texts: list[bytes], first: int = 0) -> Transform:
     return Transform(before[order], text[order] + first, place[order], np.zeros(0, np.int64))
 
 
+def _columns(t: Transform) -> tuple[np.ndarray, np.ndarray]:
+    """The first symbol of each suffix by rank, and the rank of the suffix one byte shorter (of separators: no matter)."""
+    symbol = t.symbol.astype(np.int16)  # small numbers are sorted by counting
+    shorter = np.argsort(symbol, kind="stable")
+    return symbol[shorter], shorter
+
+
 def merge(a: Transform, b: Transform, depth: int) -> Transform:
-    """The transform of both, with common prefixes up to ``depth``."""
-    side = np.concatenate([np.zeros(len(a.symbol), np.int8), np.ones(len(b.symbol), np.int8)])
-    n_texts = len(np.unique(np.concatenate([a.text, b.text])))
-    common = np.full(len(side), -1, np.int64)
-    starts = np.zeros(len(side), bool)  # ranks where an interval of equal prefixes begins
-    if len(side):
-        starts[0] = True
-        common[0] = 0
-    for h in range(1, depth + 2):
-        at_b = np.cumsum(side) - side
-        at_a = np.arange(len(side)) - at_b
-        symbol = np.where(side == 0, a.symbol[np.minimum(at_a, len(a.symbol) - 1)] if len(a.symbol) else 0, b.symbol[np.minimum(at_b, len(b.symbol) - 1)] if len(b.symbol) else 0)
-        inside = np.flatnonzero(symbol)
-        order = inside[np.argsort(symbol[inside], kind="stable")]  # counting sort by symbol
-        block = np.cumsum(starts)
-        new = np.concatenate([side[:n_texts] if h > 1 else np.sort(side[_separators(a, b)], kind="stable"), side[order]])
-        fresh = np.zeros(len(side), bool)
-        fresh[:n_texts] = True  # every separator differs
-        if len(order):
-            fresh[n_texts:] = (np.diff(symbol[order], prepend=-1) != 0) | (np.diff(block[order], prepend=-1) != 0)
-        common[fresh & (common < 0)] = h - 1
-        if (new == side).all() and (fresh == starts).all() and h > 1:
-            side, starts = new, fresh
+    """The transform of both, with common prefixes up to ``depth`` (depth + 1 for more); theirs, if any, must go as far.
+
+    Suffixes that share more than ``depth`` bytes stand in the order of the shards.
+    """
+    n_a, n = len(a.symbol), len(a.symbol) + len(b.symbol)
+    known = np.array([len(a.common) == n_a, len(b.common) == n - n_a])
+    (first_a, shorter_a), (first_b, shorter_b) = _columns(a), _columns(b)
+    first, shorter = np.concatenate([first_a, first_b]), np.concatenate([shorter_a, shorter_b + n_a])
+    at = np.argsort(first, kind="stable")  # which suffix stands at each rank, ordered by one byte
+    starts = (np.diff(first[at], prepend=-1) != 0) | (first[at] == 0)
+    common = np.where(starts, 0, -1)
+    rank = np.empty(n, np.int64)  # where the interval of each suffix begins
+    rank[at] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+    open_ = np.arange(n)
+    for h in range(1, depth + 1):
+        suffix = at[open_]
+        begin = np.flatnonzero(np.diff(rank[suffix], prepend=-1))
+        sizes = np.diff(begin, append=len(open_))
+        of_b = np.add.reduceat(suffix >= n_a, begin, dtype=np.int64) if len(begin) else begin
+        settled = (sizes == 1) | (of_b == 0) & known[0] | (of_b == sizes) & known[1]
+        open_ = open_[np.repeat(~settled, sizes)]
+        if not len(open_):
             break
-        side, starts = new, fresh
-    common[common < 0] = depth + 1
-    at_b = np.cumsum(side) - side
-    at_a = np.arange(len(side)) - at_b
-    pick = lambda x, y: np.where(side == 0, x[np.minimum(at_a, len(x) - 1)] if len(x) else 0, y[np.minimum(at_b, len(y) - 1)] if len(y) else 0)
+        suffix = at[open_]
+        key = rank[suffix] * n + rank[shorter[suffix]]
+        order = np.argsort(key, kind="stable")
+        suffix, key = suffix[order], key[order]
+        at[open_] = suffix
+        starts = np.diff(key, prepend=-1) != 0
+        new = open_[starts]
+        common[new[common[new] < 0]] = h
+        rank[suffix] = open_[np.maximum.accumulate(np.where(starts, np.arange(len(open_)), 0))]
+    rest = np.flatnonzero(common < 0)
+    suffix, before = at[rest], at[rest - 1]
+    own = np.concatenate([t.common if k else np.full(len(t.symbol), depth + 1) for t, k in zip((a, b), known.tolist(), strict=True)])
+    common[rest] = np.where((suffix >= n_a) == (before >= n_a), own[suffix], depth + 1)
+    pick = lambda x, y: np.concatenate([x, y])[at]
     return Transform(pick(a.symbol, b.symbol), pick(a.text, b.text), pick(a.place, b.place), common)
 
 
-def _separators(a: Transform, b: Transform) -> np.ndarray:
-    """Ranks, in the concatenation, of the suffixes that are separators alone."""
-    na, nb = len(np.unique(a.text)), len(np.unique(b.text))
-    return np.concatenate([np.arange(na), len(a.symbol) + np.arange(nb)])
-
-
 def repeated(shards: list[list[bytes]], length: int) -> dict[int, list[int]]:
     """For each text, numbered through the shards, the places of windows of ``length`` bytes that occur elsewhere too."""
-    merged, first = None, 0
+    level, first = [], 0
     for texts in shards:
-        one = build(texts, first)
+        level.append(build(texts, first))
         first += len(texts)
-        merged = one if merged is None else merge(merged, one, length)
-    if merged is None:
+    if not level:
         return {}
-    merged = merge(merged, build([], first), length) if len(shards) == 1 else merged
+    while len(level) > 1 or not len(level[0].common):  # neighbours with each other, the last of an odd number with nothing
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [merge(p[0], p[1] if len(p) > 1 else build([], first), length) for p in pairs]
+        if not len(level[0].symbol) and len(level) == 1:
+            break
+    merged = level[0]
     with_before = merged.common >= length
     hit = with_before | np.append(with_before[1:], False)
     out: dict[int, list[int]] = {i: [] for i in range(first)}

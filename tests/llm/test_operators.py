@@ -742,3 +742,26 @@ def test_merged_transforms(length):
         left = repeats.without(t, spans)
         out.append((i, len(t), len(t) - len(left), len(spans), hashlib.sha256(left).hexdigest()))
     assert sorted(out, key=repr) == want
+
+
+@pytest.mark.parametrize(("seed", "letters", "depth"), [(1, b"a", 6), (2, b"ab", 4), (3, b"ab\0\xff", 30), (4, b"abcdefgh", 12)])
+def test_merges_equal_sorted_suffixes(seed, letters, depth):
+    """Order, symbols and common prefixes of merges of merges, of copies and of empty texts and shards."""
+    rng = random.Random(seed)
+    make = lambda: bytes(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+    shared = make() + make()
+    shards = [[rng.choice([make(), shared, shared[5:] + make(), b""]) for _ in range(k)] for k in (3, 0, 5, 1)]
+    texts = [t for s in shards for t in s]
+    built, first = [], 0
+    for s in shards:
+        built.append(bwt_merge.build(s, first))
+        first += len(s)
+    left, right = bwt_merge.merge(built[0], built[1], depth), bwt_merge.merge(built[2], built[3], depth)
+    suffixes = sorted(([*(c + 1 for c in t[k:]), i - len(texts)], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+    common = [0] + [next(k for k, (x, y) in enumerate(zip(p[0], q[0], strict=False)) if x != y) for p, q in zip(suffixes, suffixes[1:], strict=False)]
+    for got in (bwt_merge.merge(left, right, depth), bwt_merge.merge(bwt_merge.merge(left, built[2], depth), built[3], depth)):
+        places = list(zip(got.text.tolist(), got.place.tolist(), strict=True))
+        start = lambda i, k: ([*(c + 1 for c in texts[i][k:]), i - len(texts)])[: depth + 1]
+        assert sorted(places) == sorted(x[1:] for x in suffixes) and [start(*x) for x in places] == [x[0][: depth + 1] for x in suffixes]
+        assert got.symbol.tolist() == [texts[i][k - 1] + 1 if k else 0 for i, k in places]
+        assert got.common.tolist() == [min(c, depth + 1) for c in common]
