@@ -345,6 +345,40 @@ def test_family_pairs_lose_no_link(spark, n, cut, own):
     assert len(want) == 4 and links == want
 
 
+def test_few_links_are_gathered(spark, monkeypatch):
+    """Components on the driver and by rounds on tables are the same; small inputs do not take a task per shuffle partition at every step."""
+    rng = random.Random(5)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(50)]
+    with common.Workspace(spark, "test") as ws:
+        found = {}
+        for few in (0, 10_000):
+            monkeypatch.setattr(near_dedup, "FEW_PAIRS", few)
+            half = [spark.createDataFrame(links[i::2], "x long, y long") for i in (0, 1)]
+            comps = near_dedup._grown(ws, near_dedup._grown(ws, None, half[0]), half[1])
+            found[few] = sorted(tuple(r) for r in comps.collect())
+    assert found[0] == found[10_000] and len(found[0]) > 200 and all(n > c for n, c in found[0])
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:20], f"v{i}", *words[20:40], f"u{i % 7}"])) for i in range(80)] + [(100 + i, f"a{i} b{i} c{i}") for i in range(20)]
+    given, tasks = spark.createDataFrame(rows, "doc_id long, text string"), 0
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few", "few")
+        out = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, given, 1).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        for job in tracker.getJobIdsForGroup("few"):
+            tasks += sum(info.numCompletedTasks for s in tracker.getJobInfo(job).stageIds if (info := tracker.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert all(out[i] == (0 if i < 80 else i) for i in out)
+    assert tasks < 800
+
+
 def test_foreign_pairs_lose_no_link(spark):
     words = [f"w{i}" for i in range(60)]
     sets = [words, *([*words[:58], *(f"v{i}x{k}" for k in range(2))] for i in range(12))]
